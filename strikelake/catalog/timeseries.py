@@ -102,7 +102,7 @@ def ohlc_bars_daily(spark, d):
     """f2 AS (SELECT *, CASE WHEN count(lr) OVER t >= 4 THEN stddev_samp(lr) OVER t END AS vol
   FROM f1 WINDOW t AS (PARTITION BY market_id ORDER BY h ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))""",
     sql=f"""SELECT market_id, epoch_us(h) AS timestamp_utc, pm_last, pm_last_time,
- least(greatest(pm_last * (1 - 0.005::DOUBLE), 0), 1) AS pm_bid,
+ CASE WHEN pm_last IS NOT NULL THEN least(greatest(pm_last * (1 - 0.005::DOUBLE), 0), 1) END AS pm_bid,
  CASE WHEN pm_last IS NOT NULL THEN least(greatest(pm_last * (1 + 0.005::DOUBLE), 0), 1) END AS pm_ask,
  {r6('lag(ret) OVER w')} AS pm_momentum_1h, {r6('lag(vol) OVER w')} AS pm_volatility
 FROM f2 WINDOW w AS (PARTITION BY market_id ORDER BY h)""",
@@ -361,20 +361,20 @@ def time_view(df: DataFrame, time_min: str | None, time_max: str | None, history
 @register(
     "bars_by_strike",
     TICKS,
-    "t AS (SELECT * FROM ticks WHERE ticker = 'T3' AND token_role = 'yes')",
-    """b AS (SELECT threshold, market_id, min(epoch_us(timestamp_utc)) AS lo, max(epoch_us(timestamp_utc)) AS hi, count(*) AS n
-  FROM t GROUP BY 1, 2)""",
-    """k AS (SELECT t.threshold, t.market_id, t.event_id, t.price, epoch_us(t.timestamp_utc) AS us, n,
+    "t AS (SELECT * FROM ticks WHERE token_role = 'yes')",
+    """b AS (SELECT ticker, threshold, market_id, min(epoch_us(timestamp_utc)) AS lo, max(epoch_us(timestamp_utc)) AS hi, count(*) AS n
+  FROM t GROUP BY 1, 2, 3)""",
+    """k AS (SELECT t.ticker, t.threshold, t.market_id, t.event_id, t.price, epoch_us(t.timestamp_utc) AS us, n,
   CASE WHEN n > 10 THEN floor((epoch_us(t.timestamp_utc) - lo) / ((hi - lo) / 10.0::DOUBLE)) ELSE t.event_id + 100 END AS bucket
-  FROM t JOIN b USING (threshold, market_id))""",
-    """z AS (SELECT threshold, market_id, n, max_by(event_id, (us, event_id)) AS event_id, max_by(price, (us, event_id)) AS price, max(us) AS us
-  FROM k GROUP BY threshold, market_id, n, bucket)""",
-    sql="""SELECT threshold, CAST(CAST(threshold AS BIGINT) AS VARCHAR) AS strike_label, market_id, n AS total_points,
-  count(*) AS returned_points, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY us, event_id) AS points FROM z GROUP BY 1, 2, 3, 4""",
+  FROM t JOIN b USING (ticker, threshold, market_id))""",
+    """z AS (SELECT ticker, threshold, market_id, n, max_by(event_id, (us, event_id)) AS event_id, max_by(price, (us, event_id)) AS price, max(us) AS us
+  FROM k GROUP BY ticker, threshold, market_id, n, bucket)""",
+    sql="""SELECT ticker, threshold, CAST(CAST(threshold AS BIGINT) AS VARCHAR) AS strike_label, market_id, n AS total_points,
+  count(*) AS returned_points, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY us, event_id) AS points FROM z GROUP BY 1, 2, 3, 4, 5""",
 )
 def bars_by_strike(spark, d):
-    t = ticks(spark, d).where((F.col("ticker") == "T3") & (F.col("token_role") == "yes"))
-    keys = ["threshold", "market_id"]
+    t = ticks(spark, d).where(F.col("token_role") == "yes")
+    keys = ["ticker", "threshold", "market_id"]
     totals = t.groupBy(*keys).agg(F.count("*").alias("total_points"))
     thin = bars.downsample(t, 10, keys, tiebreak=["event_id"])
     # At most N+1 points per series are left, so the list per group is small.

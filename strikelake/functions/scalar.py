@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EPS = 1e-6
 
 
 def finite(c: Column) -> Column:
-    """NaN and +-inf become NULL, so later comparisons behave like pandas'."""
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
+    """NaN and +-inf become NULL, so later comparisons behave like pandas' (Spark sorts NaN highest)."""
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def to_number(c: Column) -> Column:
@@ -28,12 +28,12 @@ def safe_divide(num: Column, den: Column) -> Column:
 
 def clip(c: Column, lo: float | None, hi: float | None) -> Column:
     """Clamp that keeps NULL as NULL (least/greatest would skip it)."""
-    out = c
-    if lo is not None:
-        out = F.when(out < lo, F.lit(float(lo))).otherwise(out)
+    if lo is None:
+        return F.when(c > hi, F.lit(float(hi))).otherwise(c)
+    out = F.when(c < lo, F.lit(float(lo)))
     if hi is not None:
-        out = F.when(out > hi, F.lit(float(hi))).otherwise(out)
-    return out
+        out = out.when(c > hi, F.lit(float(hi)))
+    return out.otherwise(c)
 
 
 def logit(p: Column, eps: float = EPS) -> Column:
@@ -90,8 +90,18 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, F.lit(1.0) - upper).otherwise(upper)
 
 
-def lognormal_tail(spot: Column, strike: Column, t: Column, r: Column, sigma: Column) -> Column:
-    return normal_cdf(d2(spot, strike, t, r, sigma))
+def with_lognormal_tail(
+    df: DataFrame, name: str, spot: Column, strike: Column, t: Column, r: Column, sigma: Column
+) -> DataFrame:
+    """Adds N(d2). Staged in columns so that the generated code stays small."""
+    staged = df.withColumn("_d2", d2(spot, strike, t, r, sigma))
+    staged = staged.withColumn("_w", F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("_d2")) * _CDF_GAMMA))
+    poly = F.lit(0.0)
+    for coef in reversed(_CDF_COEF):
+        poly = (poly + coef) * F.col("_w")
+    density = F.exp(-(F.col("_d2") * F.col("_d2")) * 0.5) * (1.0 / math.sqrt(2.0 * math.pi))
+    staged = staged.withColumn("_w", density * poly)
+    return staged.withColumn(name, F.when(F.col("_d2") >= 0, F.lit(1.0) - F.col("_w")).otherwise(F.col("_w"))).drop("_d2", "_w")
 
 
 def dividend_yield(trailing_sum: Column, spot: Column, lookback_days: int, default: float = 0.0) -> Column:

@@ -111,12 +111,12 @@ FROM part WHERE p_size > 45)"""
 
 
 def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of chains (ticker, asof); spot 100, several raw quotes may share a strike."""
+    """Quotes of chains (ticker, asof_date); spot 100, several raw quotes may share a strike."""
     k = F.col("l_partkey") % 81
     base = F.greatest(F.lit(40.0) - k, F.lit(0.0)) + F.col("l_quantity") / 10.0
     return load(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("ticker"),
-        F.to_date(F.date_trunc("month", "l_shipdate")).alias("asof"),
+        F.to_date(F.date_trunc("month", "l_shipdate")).alias("asof_date"),
         (F.lit(60) + k).cast("double").alias("strike"),
         base.alias("bid"),
         (base + F.col("l_discount") * 10.0 + 0.05).alias("ask"),
@@ -131,7 +131,7 @@ def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUOTES = """option_quotes AS (
-SELECT l_suppkey AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS asof,
+SELECT l_suppkey AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS asof_date,
        CAST(60 + l_partkey % 81 AS DOUBLE) AS strike,
        greatest(40.0::DOUBLE - l_partkey % 81, 0.0::DOUBLE) + l_quantity / 10.0 AS bid,
        greatest(40.0::DOUBLE - l_partkey % 81, 0.0::DOUBLE) + l_quantity / 10.0 + l_discount * 10.0 + 0.05 AS ask,
