@@ -102,10 +102,13 @@ def scan_bars(
 def read_checked_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good rows, one-row count of lines that did not parse)."""
     wide = StructType(list(schema.fields)).add("_bad", StringType())
-    raw = spark.read.schema(wide).option("header", header).option("columnNameOfCorruptRecord", "_bad").csv(path)
-    # Spark refuses to read the corrupt-record column alone; the always-true test keeps the data columns in.
+    reader = spark.read.schema(wide).option("header", header).option("columnNameOfCorruptRecord", "_bad")
+    raw = reader.csv(path)
+    # A field is only parsed, and so only found bad, when the query needs it: this test, always true,
+    # keeps every column in view.
     parsed = F.concat_ws("", *[F.col(c).cast("string") for c in schema.names]) >= ""
-    return raw.where(F.col("_bad").isNull()).drop("_bad"), raw.agg(F.count_if(F.col("_bad").isNotNull() & parsed).alias("bad_lines"))
+    bad = F.col("_bad").isNotNull()
+    return raw.where(~bad & parsed).drop("_bad"), raw.agg(F.count_if(bad & parsed).alias("bad_lines"))
 
 
 def price_slice(
