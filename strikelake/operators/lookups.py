@@ -15,18 +15,24 @@ from strikelake.operators.skew import DAY_MICROS
 
 
 def nearest_close(
-    queries: DataFrame, closes: DataFrame, direction: str, max_days: int, day: str = "day", prefix: str = "close"
+    queries: DataFrame, closes: DataFrame, direction: str, max_days: int, day: str = "day", prefix: str = "close", extra: tuple[str, ...] = ()
 ) -> DataFrame:
-    """First positive close at 0..max_days after (or before) the day, with its date and lag in days."""
+    """First positive close at 0..max_days after (or before) the day, with its date and lag in days.
+
+    `extra` columns of the matched close come along as <prefix>_<name>.
+    """
     step = 1 if direction == "forward" else -1
     asked = queries.select("ticker", day).distinct()
     tried = asked.select("ticker", day, F.explode(F.sequence(F.lit(0), F.lit(max_days))).alias("_k"))
     tried = tried.withColumn("date", F.date_add(day, F.col("_k") * step))
-    usable = closes.where((F.col("close") > 0) & (F.col("close") < float("inf"))).select("ticker", "date", "close")
+    usable = closes.where((F.col("close") > 0) & (F.col("close") < float("inf"))).select("ticker", "date", "close", *extra)
     found = tried.join(usable, ["ticker", "date"]).groupBy("ticker", day).agg(
-        F.min_by(F.struct("close", "date"), "_k").alias("_hit"), F.min("_k").alias(f"{prefix}_lag")
+        F.min_by(F.struct("close", "date", *extra), "_k").alias("_hit"), F.min("_k").alias(f"{prefix}_lag")
+    )
+    answer = found.select(
+        "ticker", day, F.col("_hit.close").alias(f"{prefix}_px"), F.col("_hit.date").alias(f"{prefix}_date"), f"{prefix}_lag",
+        *[F.col("_hit")[x].alias(f"{prefix}_{x}") for x in extra],
     )
-    answer = found.select("ticker", day, F.col("_hit.close").alias(f"{prefix}_px"), F.col("_hit.date").alias(f"{prefix}_date"), f"{prefix}_lag")
     return queries.join(answer, ["ticker", day], "left")
 
 
