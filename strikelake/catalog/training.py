@@ -80,7 +80,7 @@ CH = "PARTITION BY ticker, ad, fri, sc"
 BUILD = (
     DIVIDENDS, FEED, FSPLITS, FQUOTES,
     """sf AS (SELECT f.ticker, f.date, f.close, coalesce(exp(sum(ln(s.ratio))), 1.0::DOUBLE) AS factor FROM feed f LEFT JOIN fsplits s ON s.ticker = f.ticker AND s.date > f.date GROUP BY 1, 2, 3)""",
-    """ev AS (SELECT s.*, (SELECT max_by(c.close, c.date) FROM feed c WHERE c.ticker = s.ticker AND c.date < s.date) AS pre, (SELECT min_by(c.close, c.date) FROM feed c WHERE c.ticker = s.ticker AND c.date >= s.date) AS post FROM fsplits s)""",
+    """ev AS (SELECT s.ticker, s.date, s.ratio, max_by(c.close, c.date) FILTER (WHERE c.date < s.date) AS pre, min_by(c.close, c.date) FILTER (WHERE c.date >= s.date) AS post FROM fsplits s JOIN feed c ON c.ticker = s.ticker GROUP BY ALL)""",
     """st AS (SELECT ticker, min_by(v, date) AS adj FROM (SELECT *, CASE WHEN abs(pre / post - ratio) / ratio <= 0.25 THEN false WHEN abs(pre / post - 1.0) <= 0.25 THEN true END AS v FROM ev) WHERE v IS NOT NULL GROUP BY 1)""",
     """cl AS (SELECT sf.ticker, sf.date, CASE WHEN coalesce(adj, false) THEN close * factor ELSE close END AS raw, CASE WHEN coalesce(adj, false) THEN close ELSE close / factor END AS adj FROM sf LEFT JOIN st USING (ticker))""",
     "wks AS (SELECT DISTINCT CAST(CAST(l_shipdate AS DATE) - CAST(isodow(l_shipdate) - 1 AS INT) AS DATE) AS mon FROM lineitem)",
@@ -88,9 +88,10 @@ BUILD = (
     "j1 AS (SELECT j.*, min(c.date) AS ad FROM jb j LEFT JOIN cl c ON c.ticker = j.ticker AND c.date BETWEEN j.tgt AND j.tgt + 3 GROUP BY ALL)",
     "j2 AS (SELECT j.*, max(c.date) AS ed FROM j1 j LEFT JOIN cl c ON c.ticker = j.ticker AND c.date BETWEEN j.fri - 3 AND j.fri GROUP BY ALL)",
     """j3 AS (SELECT j2.*, CAST(fri - ad AS INT) AS td, a.raw AS s0r, a.adj AS s0a, e.raw AS str, e.adj AS sta FROM j2 JOIN cl a ON a.ticker = j2.ticker AND a.date = ad JOIN cl e ON e.ticker = j2.ticker AND e.date = ed WHERE fri > ad)""",
-    """ck AS (SELECT DISTINCT j3.ticker, ad, fri, td, s0r, s0a, str, sta, CASE WHEN x.ticker IS NOT NULL THEN fri WHEN y.ticker IS NOT NULL THEN fri + 1 END AS ex FROM j3
+    """ck AS (SELECT DISTINCT j3.ticker, j3.ad, j3.fri, td, s0r, s0a, str, sta, CASE WHEN x.ticker IS NOT NULL THEN fri WHEN y.ticker IS NOT NULL THEN fri + 1 END AS ex FROM j3
    LEFT JOIN (SELECT DISTINCT ticker, ad, ex FROM fq) x ON x.ticker = j3.ticker AND x.ad = j3.ad AND x.ex = j3.fri LEFT JOIN (SELECT DISTINCT ticker, ad, ex FROM fq) y ON y.ticker = j3.ticker AND y.ad = j3.ad AND y.ex = j3.fri + 1)""",
-    """dv AS (SELECT ck.*, coalesce((SELECT sum(v.amount / 16) FROM dividends v WHERE v.ticker = ck.ticker AND v.date BETWEEN ck.ad - 365 AND ck.ad), 0.0::DOUBLE) AS ds FROM ck WHERE ex IS NOT NULL)""",
+    """dz AS (SELECT ck.ticker, ck.ad, sum(v.amount / 16) AS ds FROM (SELECT DISTINCT ticker, ad FROM ck) ck JOIN dividends v ON v.ticker = ck.ticker AND v.date BETWEEN ck.ad - 365 AND ck.ad GROUP BY 1, 2)""",
+    "dv AS (SELECT ck.*, coalesce(dz.ds, 0.0::DOUBLE) AS ds FROM ck LEFT JOIN dz USING (ticker, ad) WHERE ex IS NOT NULL)",
     """sc0 AS (SELECT ticker, ad, fri, td, ex, td / 365.25::DOUBLE AS t, 'split_adj' AS sc, s0a AS s, sta AS se, ds FROM dv UNION ALL SELECT ticker, ad, fri, td, ex, td / 365.25::DOUBLE, 'raw', s0r, str, ds FROM dv)""",
     "sc1 AS (SELECT *, (ds * (365.25::DOUBLE / 365)) / s AS q FROM sc0)",
     "sc2 AS (SELECT *, s * exp((0.03::DOUBLE - q) * t) AS fw FROM sc1)",
@@ -131,7 +132,7 @@ ROW_ID = "substr(sha1(concat_ws('|', strftime(ad, '%Y-%m-%dT00:00:00Z'), CAST(ti
     "option_training_rows",
     *BUILD,
     sql=f"""SELECT {ROW_ID} AS row_id, CAST(ticker AS VARCHAR) AS ticker, tgt AS asof_target, ad AS asof_date, ed AS expiry_close_date_used, CAST(ex AS DATE) AS expiry_date, td AS "T_days", sc AS spot_scale_used,
-  strike AS "K", {r6('prn')} AS "pRN", {r6('praw')} AS "pRN_raw", CASE WHEN se > strike THEN 1 ELSE 0 END AS "outcome_ST_gt_K", {r6('ln(strike / fw)')} AS log_m_fwd, {r6('q')} AS dividend_yield, nu AS n_chain_used,
+  strike AS "K", {r6('prn')} AS "pRN", {r6('round_even(praw, 7)')} AS "pRN_raw", CASE WHEN se > strike THEN 1 ELSE 0 END AS "outcome_ST_gt_K", {r6('round_even(ln(strike / fw), 9)')} AS log_m_fwd, {r6('round_even(q, 8)')} AS dividend_yield, nu AS n_chain_used,
   {r6('used')} AS used_max_abs_logm FROM o1 WHERE rn = 1""",
 )
 def option_training_rows(spark, d):
@@ -154,3 +155,322 @@ def option_training_rows(spark, d):
 def option_build_drop_reasons(spark, d):
     _, drops = build(spark, d)
     return drops.groupBy("drop_reason").agg(F.count("*").alias("dropped"))
+
+
+@register(
+    "training_projections",
+    *BUILD,
+    sql=f"""SELECT {ROW_ID} AS row_id, CASE WHEN ex = fri THEN 'requested' ELSE 'fallback_next' END AS expiry_used_reason, concat('closes_', sc) AS "S0_close_source",
+  concat_ws('|', CAST(ticker AS VARCHAR), strftime(ex, '%Y-%m-%d'), strftime(ad, '%Y-%m-%d'), 'isotonic|v1') AS curve_id, {r6('prn')} AS "pRN" FROM o1 WHERE rn = 1""",
+)
+def training_projections(spark, d):
+    """The snapshot and benchmark projections of one build, joined again by row id."""
+    rows, _ = build(spark, d)
+    rows = D.training_view(rows)
+    snap = D.snapshot_view(rows).select("row_id", "expiry_used_reason", "S0_close_source")
+    prn = D.prn_view(rows, "isotonic", "v1", "hash").select("row_id", "curve_id", r(F.col("pRN"), 6).alias("pRN"))
+    return snap.join(prn, "row_id")
+
+
+@register(
+    "horizon_overlay",
+    LABELLED,
+    """o AS (SELECT ticker, round(w + discount, 2) AS strike, asof_date, l_linenumber AS td, arg_min(p_model, (group_id, l_partkey, price)) AS p FROM labelled WHERE l_linenumber BETWEEN 1 AND 4 GROUP BY 1, 2, 3, 4)""",
+    sql=f"""SELECT ticker, strike, count(*) AS points, min(asof_date) AS first_date, {r6('sum(p)')} AS total FROM o GROUP BY 1, 2""",
+)
+def horizon_overlay(spark, d):
+    x = labelled(spark, d).select(
+        "ticker", (F.col("w") + F.col("discount")).alias("K"), "asof_date", F.col("l_linenumber").alias("T_days"), F.col("p_model").alias("pRN"),
+        "group_id", "l_partkey", "price",
+    )
+    o = O.overlay(x, ["group_id", "l_partkey", "price"])
+    total = F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["pRN"])
+    return o.select(
+        "ticker", "strike", F.size("points").cast("bigint").alias("points"), F.col("points")[0]["asof_date"].alias("first_date"), r(total, 6).alias("total")
+    )
+
+
+@register("probability_at_market_strikes")
+def probability_at_market_strikes(spark, d):
+    """Rows-only: the same curve, isotonic and interpolation steps are checked by the chain queries."""
+    from strikelake.catalog import chains as CH_
+
+    q = CH_.quotes(spark, d)
+    chains = q.select(*CH_.CHAIN).distinct()
+    wanted = q.select("ticker", (F.col("strike") + 0.255).alias("strike")).distinct()
+    return O.probabilities_at_strikes(q, chains, wanted, CH_.CHAIN, CH_.TIE)
+
+
+# --- models ---------------------------------------------------------------------------------------
+
+
+def _newton(steps: int) -> list[str]:
+    """Unrolled Newton steps for a one-feature logistic fit on grouped rows g(x, n, s)."""
+    out = ["n0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for i in range(steps):
+        out.append(
+            f"""n{i + 1} AS (SELECT a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM (
+   SELECT any_value(a) AS a, any_value(b) AS b, sum(x * (n * p - s)) + any_value(a) * 1e-6 AS g1, sum(n * p - s) AS g2, sum(x * x * n * p * (1 - p)) + 1e-6 AS h11, sum(x * n * p * (1 - p)) AS h12, sum(n * p * (1 - p)) AS h22
+   FROM (SELECT g.*, a, b, 1.0 / (1.0 + exp(-(a * x + b))) AS p FROM g, n{i})))"""
+        )
+    return out
+
+
+@register(
+    "platt_calibration",
+    LABELLED,
+    "g AS (SELECT ln(p_model / (1 - p_model)) AS x, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS s FROM labelled GROUP BY p_model)",
+    *_newton(8),
+    sql="SELECT floor(a * 10000 + 0.5) / 10000 AS slope, floor(b * 10000 + 0.5) / 10000 AS intercept FROM n8",
+)
+def platt_calibration(spark, d):
+    from strikelake.functions.scalar import logit
+
+    x = labelled(spark, d)
+    cal = L.fit_platt(x, logit(F.col("p_model")))
+    # Two fitted numbers, attached to one aggregate row of the same table.
+    one = x.agg(F.count("*").alias("n")).withColumns({"slope": F.lit(cal.slope), "intercept": F.lit(cal.intercept)})
+    return one.select(r(F.col("slope"), 4).alias("slope"), r(F.col("intercept"), 4).alias("intercept"))
+
+
+PREP = L.Preprocessor(
+    ("w", "tax"), (25.0, 0.04), (25.5, 0.04), (14.4, 0.026), ("ticker",), ("1",), (("2", "3", "4"),)
+)
+MODEL = L.LogitModel(PREP, -0.7, (0.05, -0.11, 0.2, -0.3, 0.4), L.Platt(0.9, 0.05))
+ETA = """-0.7::DOUBLE + (coalesce(w, 25.0) - 25.5::DOUBLE) / 14.4::DOUBLE * 0.05::DOUBLE + (coalesce(tax, 0.04) - 0.04::DOUBLE) / 0.026::DOUBLE * -0.11::DOUBLE
+  + CASE ticker WHEN 2 THEN 0.2::DOUBLE WHEN 3 THEN -0.3::DOUBLE WHEN 4 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END"""
+SCORED = (
+    LABELLED,
+    f"sc AS (SELECT *, {ETA} AS eta FROM labelled)",
+    "pr AS (SELECT *, 1.0 / (1.0 + exp(-(eta * 0.9::DOUBLE + 0.05::DOUBLE))) AS phat FROM sc)",
+)
+
+
+@register(
+    "model_scoring",
+    *SCORED,
+    sql=f"""SELECT group_id, l_linenumber, l_partkey, price, {r6('phat')} AS "pHAT", {r6('CASE WHEN discount > 0.05 THEN p_model ELSE phat END')} AS p_final,
+  CASE WHEN discount > 0.05 THEN 'stage_b' ELSE 'stage_a' END AS stage_used FROM pr""",
+)
+def model_scoring(spark, d):
+    x = labelled(spark, d)
+    signal = F.when(F.col("discount") > 0.05, F.col("discount"))
+    base, final, stage = L.two_stage(MODEL.probability(), F.col("p_model"), signal)
+    return x.select(
+        "group_id", "l_linenumber", "l_partkey", "price", r(base, 6).alias("pHAT"), r(final, 6).alias("p_final"), stage.alias("stage_used")
+    )
+
+
+@register(
+    "ticker_scoping_and_offset_stage",
+    LABELLED,
+    """t AS (SELECT *, CASE WHEN ticker IN (1, 2) THEN 'FOUNDATION' WHEN ticker IN (5, 6) THEN CAST(ticker AS VARCHAR) ELSE 'OTHER' END AS tf,
+   ln(p_model / (1 - p_model)) + CASE WHEN ticker IN (1, 2) THEN 0.0 ELSE tax * 3.0 END AS eta FROM labelled)""",
+    sql=f"SELECT tf AS ticker_level, count(*) AS n, {r6('avg(1.0 / (1.0 + exp(-eta)))')} AS p FROM t GROUP BY 1",
+)
+def ticker_scoping_and_offset_stage(spark, d):
+    x = labelled(spark, d)
+    level = L.ticker_feature("non_foundation", ["1", "2"], ["FOUNDATION", "5", "6"])
+    p = L.offset_stage(F.col("p_model"), F.col("tax") * 3.0, F.col("ticker").isin(1, 2))
+    return x.select(level.alias("ticker_level"), p.alias("p")).groupBy("ticker_level").agg(F.count("*").alias("n"), r(F.avg("p"), 6).alias("p"))
+
+
+@register(
+    "mixed_model_blend",
+    LABELLED,
+    "m AS (SELECT *, p_base AS pm, p_model AS prn, least(greatest(tax * 20 - 0.4::DOUBLE, 0.0), 1.0) AS wgt FROM labelled)",
+    sql=f"""SELECT group_id, l_linenumber, l_partkey, price, {r6('least(greatest(pm + (tax - 0.04::DOUBLE) * 10, 0.0), 1.0)')} AS residual, {r6('least(greatest(wgt * prn + (1.0 - wgt) * pm, 0.0), 1.0)')} AS blend,
+  {r6('least(greatest(CASE WHEN abs(prn - pm) < 1e-6 THEN 0.5 ELSE (y - pm) / (prn - pm) END, 0.0), 1.0)')} AS blend_target FROM m""",
+)
+def mixed_model_blend(spark, d):
+    x = labelled(spark, d)
+    pm, prn = F.col("p_base"), F.col("p_model")
+    return x.select(
+        "group_id", "l_linenumber", "l_partkey", "price", r(X.combine("residual", (F.col("tax") - 0.04) * 10, pm, prn), 6).alias("residual"),
+        r(X.combine("blend", F.col("tax") * 20 - 0.4, pm, prn), 6).alias("blend"), r(X.target("blend", F.col("y"), pm, prn), 6).alias("blend_target"),
+    )
+
+
+EDGE = (
+    *SCORED,
+    "pp AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE p_base END AS yb, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE 1.02::DOUBLE - p_base END AS nb, p_model BETWEEN 0.15 AND 0.8 AS ins FROM pr)",
+    "ed AS (SELECT *, CASE WHEN ins THEN phat - yb END AS ye, CASE WHEN ins THEN (1.0 - phat) - nb END AS ne FROM pp)",
+    """fe AS (SELECT *, CASE WHEN ye IS NOT NULL AND (ne IS NULL OR ye >= ne) THEN ye ELSE ne END AS edge, CASE WHEN NOT ins THEN 'pRN_out_of_range' WHEN ye IS NOT NULL AND (ne IS NULL OR ye >= ne) THEN 'yes contract' WHEN ne IS NOT NULL THEN 'no contract' END AS src FROM ed)""",
+)
+
+
+def edges(spark, d):
+    x = labelled(spark, d)
+    n = F.col("l_linenumber")
+    x = x.withColumns(
+        {
+            "pHAT": MODEL.probability(), "pPM_buy": F.when(n % 3 == 0, None).otherwise(F.col("p_base")),
+            "qPM_buy": F.when(n % 4 == 0, None).otherwise(F.lit(1.02) - F.col("p_base")), "pRN": F.col("p_model"),
+        }
+    )
+    return S.with_edge(x, prn_range=S.training_range({"prn_train_range": [0.15, 0.8]}))
+
+
+@register(
+    "model_market_edge",
+    *EDGE,
+    sql=f"SELECT group_id, l_linenumber, l_partkey, price, {r6('edge')} AS edge, src AS edge_source FROM fe",
+)
+def model_market_edge(spark, d):
+    return edges(spark, d).select("group_id", "l_linenumber", "l_partkey", "price", r(F.col("edge"), 6).alias("edge"), "edge_source")
+
+
+@register(
+    "top_edges",
+    *EDGE,
+    sql=f"""SELECT group_id, l_linenumber, l_partkey, {r6('edge')} AS edge FROM fe WHERE edge IS NOT NULL AND ticker NOT IN (3, 4)
+  ORDER BY edge DESC, group_id, l_linenumber, l_partkey, price LIMIT 25""",
+)
+def top_edges(spark, d):
+    out = S.top_edges(edges(spark, d), 25, ["3", "4"], ["group_id", "l_linenumber", "l_partkey", "price"])
+    return out.select("group_id", "l_linenumber", "l_partkey", r(F.col("edge"), 6).alias("edge"))
+
+
+@register(
+    "probability_distribution",
+    *SCORED,
+    sql=f"SELECT count(*) AS count, {r6('avg(phat)')} AS mean, {r6('min(phat)')} AS min, {r6('max(phat)')} AS max FROM pr",
+)
+def probability_distribution(spark, d):
+    s = S.probability_summary(labelled(spark, d).select(MODEL.probability().alias("pHAT")))
+    return s.select("count", *[r(F.col(c), 6).alias(c) for c in ("mean", "min", "max")])
+
+
+@register(
+    "split_verdicts",
+    LABELLED,
+    """m AS (SELECT CAST(extract(year FROM asof_date) AS VARCHAR) AS split, avg(-(CASE WHEN y = 1 THEN ln(p_base) ELSE ln(1 - p_base) END)) AS lb, avg(-(CASE WHEN y = 1 THEN ln(p_model) ELSE ln(1 - p_model) END)) AS lm,
+   avg((p_base - y) * (p_base - y)) AS bb, avg((p_model - y) * (p_model - y)) AS bm FROM labelled GROUP BY 1)""",
+    sql=f"SELECT split, {r6('lb')} AS baseline_logloss, {r6('lm')} AS model_logloss, {r6('lm - lb')} AS delta_logloss, {r6('bm - bb')} AS delta_brier, CASE WHEN lm - lb < 0 THEN 'good' ELSE 'unusable' END AS status FROM m",
+)
+def split_verdicts(spark, d):
+    from strikelake.operators import metrics as M
+
+    x = labelled(spark, d).withColumn("split", F.year("asof_date").cast("string"))
+    m = M.point_metrics(M.stack_models(x, ["split"], "y", "p_model", "p_base"), ["split", "model"], "y", "p").drop("mae", "rmse")
+    v = S.verdicts(m)
+    return v.select("split", *[r(F.col(c), 6).alias(c) for c in ("baseline_logloss", "model_logloss", "delta_logloss", "delta_brier")], "status")
+
+
+TRIALS = (
+    LABELLED,
+    """dl AS (SELECT CAST(ticker AS INT) AS trial_id, extract(year FROM asof_date) AS fold, avg((p_model - y) * (p_model - y)) - avg((p_base - y) * (p_base - y)) AS delta FROM labelled GROUP BY 1, 2)""",
+    """fs AS (SELECT trial_id, count(*) AS n, avg(delta) AS mean_delta, median(delta) AS med, coalesce(stddev_samp(delta), 0) / sqrt(count(*)) AS se, count_if(delta < 0) AS imp, max(delta) AS worst FROM dl GROUP BY 1)""",
+    "ac AS (SELECT *, med > 0.06 AS g1, imp < ceil(0.1::DOUBLE * n) AS g2, worst > 0.2 AS g3 FROM fs)",
+)
+
+
+def trials(spark, d):
+    from strikelake.catalog.validation import fold_deltas
+
+    stats = Q.fold_statistics(fold_deltas(spark, d), delta="delta").withColumn("score", F.col("median_delta"))
+    return S.acceptance(stats, delta_limit=0.06, min_improved=0.1, worst_cap=0.2)
+
+
+@register(
+    "acceptance_gates",
+    *TRIALS,
+    sql="""SELECT trial_id, concat_ws(',', CASE WHEN g1 THEN 'central_delta_above_limit' END, CASE WHEN g2 THEN 'too_few_folds_improved' END, CASE WHEN g3 THEN 'worst_delta_above_cap' END) AS rejected_because FROM ac""",
+)
+def acceptance_gates(spark, d):
+    return trials(spark, d).select("trial_id", F.array_join("rejected_because", ",").alias("rejected_because"))
+
+
+@register(
+    "simplest_trial_within_margin",
+    *TRIALS,
+    "ok AS (SELECT * FROM ac WHERE NOT g1 AND NOT g2 AND NOT g3 AND (SELECT min(med) FROM fs) <= 0.05)",
+    "b AS (SELECT min(med) AS m FROM ok)",
+    sql="SELECT trial_id FROM ok, b WHERE med <= m + 0.05 ORDER BY trial_id % 7, trial_id LIMIT 1",
+)
+def simplest_trial_within_margin(spark, d):
+    return S.choose_trial(trials(spark, d), [F.col("trial_id") % 7], epsilon=0.05).select("trial_id")
+
+
+@register(
+    "trial_leaderboard",
+    *TRIALS,
+    sql=f"SELECT trial_id, {r6('med')} AS score, {r6('mean_delta')} AS mean_delta FROM fs ORDER BY med NULLS LAST, mean_delta NULLS LAST, trial_id LIMIT 10",
+)
+def trial_leaderboard(spark, d):
+    out = S.leaderboard(trials(spark, d)).limit(10)
+    return out.select("trial_id", r(F.col("score"), 6).alias("score"), r(F.col("mean_delta"), 6).alias("mean_delta"))
+
+
+@register(
+    "one_standard_error_rule",
+    LABELLED,
+    """s AS (SELECT (1 + ticker % 5) / 10.0::DOUBLE AS c, extract(year FROM asof_date) AS fold, avg((p_model - y) * (p_model - y)) AS score FROM labelled GROUP BY 1, 2)""",
+    "p AS (SELECT c, avg(score) AS m, coalesce(stddev_samp(score), 0) / sqrt(count(*)) AS se FROM s GROUP BY 1)",
+    "b AS (SELECT m + se + 1e-12 AS lim FROM p ORDER BY m, c LIMIT 1)",
+    sql=f"""SELECT min(c) AS "C", {r6('arg_min(m, c)')} AS mean_score, count(*) AS eligible FROM p, b WHERE m <= lim""",
+)
+def one_standard_error_rule(spark, d):
+    sq = (F.col("p_model") - F.col("y")) * (F.col("p_model") - F.col("y"))
+    s = labelled(spark, d).groupBy(((F.col("ticker") % 5 + 1) / 10.0).alias("C"), F.year("asof_date").alias("fold")).agg(F.avg(sq).alias("score"))
+    out = L.one_standard_error(s)
+    return out.select("C", r(F.col("mean_score"), 6).alias("mean_score"), "eligible")
+
+
+@register("logistic_fit_scores")
+def logistic_fit_scores(spark, d):
+    """Rows-only: an L2 fit with imputation, scaling and one-hot status, scored per priority."""
+    o = load(spark, d, "orders").select(
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0).alias("y"), F.col("o_totalprice").alias("price"),
+        F.dayofmonth("o_orderdate").alias("dom"), F.col("o_orderstatus").alias("status"), "o_custkey",
+    )
+    model = L.fit_logit(o, ["price", "dom"], ["status"], c=0.5)
+    return o.select("status", model.probability().alias("p")).groupBy("status").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
+
+
+@register("embedding_logistic_scores")
+def embedding_logistic_scores(spark, d):
+    """Rows-only: the same fit on a 64-column design matrix."""
+    e = load(spark, d, "embeddings")
+    cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]
+    x = e.select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *cols)
+    model = L.fit_logit(x, [f"e{i}" for i in range(64)], c=0.1)
+    return x.select("vec_id", model.probability().alias("p"))
+
+
+@register("ridge_residual_scores")
+def ridge_residual_scores(spark, d):
+    """Rows-only: ridge on the market residual over whole-table features."""
+    x = labelled(spark, d).select("group_id", F.col("y").alias("label"), F.col("p_base").alias("pm_mid"), F.col("p_model").alias("pRN"), "w", "tax")
+    rows = X.prepare(x, "residual")
+    model = X.fit_mixed(rows, ["w", "tax", "pRN"], "residual", alpha=10.0)
+    return rows.select(F.col("label").alias("y"), model.probability().alias("p")).groupBy("y").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
+
+
+@register("offset_logistic_fit")
+def offset_logistic_fit(spark, d):
+    """Rows-only: Newton fit with the baseline logit as a fixed offset."""
+    from strikelake.functions.scalar import logit
+
+    x = labelled(spark, d)
+    b0, beta = L.fit_offset(x, [F.col("w") / 50.0, F.col("tax") * 10.0], "y", logit(F.col("p_base")), c=1.0)
+    eta = logit(F.col("p_base")) + F.lit(b0) + F.col("w") / 50.0 * float(beta[0]) + F.col("tax") * 10.0 * float(beta[1])
+    return x.select("y", eta.alias("eta")).groupBy("y").agg(F.count("*").alias("n"), F.avg("eta").alias("eta"))
+
+
+@register("c_search_over_folds")
+def c_search_over_folds(spark, d):
+    """Rows-only: C by the one-standard-error rule over walk-forward folds (cached fold data, one fit per job)."""
+    from strikelake.functions.calendar import next_friday
+    from strikelake.operators import splits as P
+
+    x = labelled(spark, d).withColumn("week", next_friday(F.col("asof_date")))
+    folds = P.walk_forward(P.week_list(x, "week"), 2, 30, 60, expanding=False)
+    rows = P.assign_folds(x, folds, "week", "group_id").cache()
+    parts = [
+        (f.fold, rows.where((F.col("fold") == f.fold) & (F.col("role") == "train")), rows.where((F.col("fold") == f.fold) & (F.col("role") == "val")))
+        for f in folds
+    ]
+    scores = L.scores_table(spark, L.c_scores(parts, [0.01, 1.0], ["w", "tax", "discount"]))
+    rows.unpersist()
+    return L.one_standard_error(scores)

@@ -117,7 +117,7 @@ def both_scales(closes: DataFrame, splits: DataFrame) -> DataFrame:
 def _log_return(order: Window) -> Column:
     prev = F.lag("close").over(order)
     ok = (F.col("close") > 0) & (prev > 0)
-    return F.when(ok, F.ln(F.when(ok, F.col("close") / prev)))
+    return F.when(ok, F.ln(F.when(ok, F.try_divide("close", prev))))
 
 
 def realized_vol(closes: DataFrame, lookback: int = 20, name: str = "rv20") -> DataFrame:

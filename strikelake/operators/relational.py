@@ -200,7 +200,7 @@ def payout_labels(dim: DataFrame, conditions: DataFrame, positions: DataFrame) -
         "payout_numerators",
         "_den",
     )
-    share = lambda idx: F.try_element_at("payout_numerators", F.col(idx) + 1).try_cast("double") / F.col("_den")
+    share = lambda idx: F.try_divide(F.try_element_at("payout_numerators", F.col(idx) + 1).try_cast("double"), F.col("_den"))
     out = joined.where((F.col("_iy") < F.size("payout_numerators")) & (F.col("_in") < F.size("payout_numerators")))
     out = out.withColumn("_py", share("_iy")).withColumn("_pn", share("_in"))
     return out.select(

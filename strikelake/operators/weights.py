@@ -220,7 +220,7 @@ def reweight_masked(df: DataFrame, group: str, mask: Column, w: str = "w") -> Da
     out = total.withColumn("_w2", shared)
     means = out.where("_in").agg(F.avg(w).alias("_m1"), F.avg("_w2").alias("_m2"))
     out = with_scalars(out, means)
-    scaled = F.when((F.col("_m1") > 0) & (F.col("_m2") > 0), F.col("_w2") * F.col("_m1") / F.col("_m2")).otherwise(F.col("_w2"))
+    scaled = F.when((F.col("_m1") > 0) & (F.col("_m2") > 0), F.try_divide(F.col("_w2") * F.col("_m1"), F.col("_m2"))).otherwise(F.col("_w2"))
     return out.withColumn(w, F.when(F.col("_in"), scaled).otherwise(F.col(w))).drop("_in", "_sum", "_w2", "_m1", "_m2")
 
 

@@ -1,7 +1,9 @@
 """Option chains to labelled training rows: closes, curve, benchmark probability, band, label, weights.
 
 The raw quotes are joined once with the (small) table of wanted chains and reduced to one row per
-(chain, scale, strike); everything after that is bounded by strikes per chain.
+(chain, scale, strike); everything after that is bounded by strikes per chain. Stages read several
+times (closes, usable jobs, chains, chosen curves) are written once to the shared folder, which keeps
+each job's plan small and survives lost executors.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from strikelake.functions import calendar, keys
 from strikelake.functions.scalar import dividend_yield, fix_negative_zero
 from strikelake.operators import chain as C, lookups, relational
 from strikelake.operators.weights import weighting_v3
+from strikelake.session import materialize
 
 YEAR = 365.25  # fixed value: the build counts years of 365.25 days
 
@@ -99,9 +102,9 @@ def probabilities(scaled: DataFrame, quotes: DataFrame, tiebreak: list[str], rul
     curve = C.call_curve(C.strike_table(rows, SCALED, tiebreak, rules.curve), SCALED, rules.curve)
     curve = curve.join(scaled.select(*SCALED, "spot_ref"), SCALED)
     banded = C.choose_scale(C.with_band(curve, SCALED, "spot_ref", rules.curve), CHAIN, rules=rules.curve)
-    thick = banded.where(F.col("n_band_inside") >= rules.curve.min_inside)
+    thick = materialize(banded.where(F.col("n_band_inside") >= rules.curve.min_inside), "curves")
     spacing = C.strike_spacing(thick, CHAIN)
-    knots = C.isotonic_knots(C.interval_probability(thick, CHAIN), CHAIN)
+    knots = materialize(C.isotonic_knots(C.interval_probability(thick, CHAIN), CHAIN), "knots")
     flags = knots.groupBy(*CHAIN).agg(F.max("intervals_adjusted").alias("prn_monotone_adj_intervals"))
     targets = thick.where("in_band").drop("mid", "call_monotone", "call_smooth", "in_band", "rate", "div_yield", "t_years", "spot", "spot_ref")
     out = C.interpolate(knots, targets, CHAIN, "k_mid", ["p_interval", "p_isotonic"])
@@ -115,15 +118,17 @@ def training_rows(
     jobs: DataFrame, closes: DataFrame, dividends: DataFrame, quotes: DataFrame, tiebreak: list[str], rules: BuildRules = BuildRules(), weight: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(training rows, drop log) for a schedule of (ticker, week, as-of) jobs."""
+    closes = materialize(closes, "closes")
     usable, drops = with_closes(jobs, closes, rules)
-    chains = chain_table(usable, quotes, closes, dividends, rules)
+    usable = materialize(usable, "jobs")
+    chains = materialize(chain_table(usable, quotes, closes, dividends, rules), "chains")
     scaled = scaled_chains(chains, rules)
     p = probabilities(scaled, quotes, tiebreak, rules)
     r7 = lambda c: F.bround(c, 7)
     p = p.withColumns({"pRN": fix_negative_zero(r7(F.col("p_isotonic"))), "pRN_raw": r7(F.col("p_interval")), "K": r7(F.col("strike"))})
     p = p.where(F.col("pRN").between(rules.min_prn, rules.max_prn))
     enough = p.groupBy(*CHAIN).agg(F.count("*").alias("_n")).where(F.col("_n") >= rules.min_in_prn_band).select(*CHAIN)
-    p = p.join(enough, CHAIN, "left_semi")
+    p = materialize(p.join(enough, CHAIN, "left_semi"), "probabilities")
     attributes = scaled.drop("T_days", "S0_adj", "S0_raw", "ST_adj", "ST_raw", "rv_adj", "rv_raw", "rate", "t_years", "spot_ref", "expiry_close_date_used")
     rows = usable.join(p, CHAIN).join(attributes, SCALED)
     log_m = F.ln(F.col("K") / F.col("spot"))
