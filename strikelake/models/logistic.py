@@ -64,9 +64,10 @@ def _fit(df: DataFrame, features: Sequence[Column], y: str, w: str | None, c: fl
 
 
 def fit_logit(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), y: str = "y", w: str | None = None, c: float = 1.0
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), y: str = "y", w: str | None = None, c: float = 1.0,
+    prep: Preprocessor | None = None,
 ) -> LogitModel:
-    prep = fit_preprocessor(df, numeric, categorical)
+    prep = prep or fit_preprocessor(df, numeric, categorical)
     intercept, coefs = _fit(df, prep.columns(), y, w, c)
     return LogitModel(prep, intercept, coefs)
 
@@ -153,8 +154,10 @@ def c_scores(
     for fold, train, val in folds:
         if any(part.select(y).distinct().limit(2).count() < 2 for part in (train, val)):
             continue
+        prep = fit_preprocessor(train, numeric, categorical)  # the same for every C
         for c in grid:
-            out.append((float(c), fold, objective(val, fit_logit(train, numeric, categorical, y, w, c).probability(), y, name, tie)))
+            model = fit_logit(train, numeric, categorical, y, w, c, prep)
+            out.append((float(c), fold, objective(val, model.probability(), y, name, tie)))
     return out
 
 
