@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strikelake.catalog import register
 from strikelake.operators import bars
+from strikelake.operators.skew import with_scalars
 from strikelake.plans import markets as MK
 from strikelake.session import scratch_path
 from strikelake.sources import landing, readers, sinks
@@ -41,7 +42,7 @@ def checked_csv_scan(spark, d):
     body = F.when(k % 7 == 0, F.concat(k.cast("string"), F.lit(",oops"))).otherwise(F.concat_ws(",", k.cast("string"), F.col("o_totalprice").cast("string")))
     load(spark, d, "orders").select(body.alias("value")).write.text(path)
     good, bad = readers.read_checked_csv(spark, path, StructType.fromDDL("k BIGINT, price DOUBLE"), header=False)
-    return bad.crossJoin(F.broadcast(good.agg(F.count("k").alias("good_lines"))))
+    return with_scalars(bad, good.agg(F.count("k").alias("good_lines")))
 
 
 BENCH = """b AS (SELECT upper(concat('s', CAST(l_suppkey % 10 AS VARCHAR))) AS ticker, round(CAST(l_partkey % 50 AS DOUBLE) + 0.00000002::DOUBLE, 6) AS threshold,

@@ -9,6 +9,7 @@ from strikelake.functions import calendar
 from strikelake.functions.scalar import round_half_up as r
 from strikelake.operators import metrics as M, splits as P, weights as Wt
 from strikelake.operators.percentiles import exact_percentiles
+from strikelake.operators.skew import with_scalars
 from strikelake.sources.tables import LABELLED, labelled
 
 
@@ -291,7 +292,7 @@ def embargo_by_weeks(spark, d):
     boundary = x.where(F.col("asof_date") >= cut)
     train = P.embargo_weeks(x.where(F.col("asof_date") < cut), boundary, 9, "week")
     stats = train.agg(F.count("*").alias("n"), F.max("week").alias("last_week"))
-    return stats.crossJoin(F.broadcast(P.gap_days(train, boundary, "week")))
+    return with_scalars(stats, P.gap_days(train, boundary, "week"))
 
 
 @register(

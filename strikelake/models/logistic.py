@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from strikelake.functions.scalar import EPS, clip, expit, logit
 from strikelake.models.preprocess import Preprocessor, fit_preprocessor
 from strikelake.operators import metrics
+from strikelake.operators.skew import with_scalars
 from strikelake.operators.weights import upper_ticker
 
 MIN_PLATT_ROWS = 50
@@ -173,7 +174,7 @@ def one_standard_error(scores: DataFrame) -> DataFrame:
     )
     best = per.agg(F.min_by(F.struct("mean_score", "se_score"), F.struct("mean_score", "C")).alias("_b"))
     limit = F.col("_b.mean_score") + F.col("_b.se_score") + 1e-12
-    return per.crossJoin(F.broadcast(best)).where(F.col("mean_score") <= limit).agg(
+    return with_scalars(per, best).where(F.col("mean_score") <= limit).agg(
         F.min("C").alias("C"), F.min_by("mean_score", "C").alias("mean_score"), F.count("*").alias("eligible")
     )
 

@@ -127,10 +127,10 @@ def with_edge(df: DataFrame, p_hat: str = "pHAT", yes: str = "pPM_buy", no: str
 
 
 def top_edges(df: DataFrame, n: int = 10, exclude: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
-    out = df.where(F.col("edge").isNotNull())
-    if exclude:
-        out = out.where(ticker_in("ticker", exclude, exclude=True))
-    return out.orderBy(F.col("edge").desc(), *tiebreak).limit(n)
+    out = df.where(ticker_in("ticker", exclude, exclude=True)) if exclude else df
+    # NULL edges sort last and are dropped after the top-n: a filter on edge before the sort would be
+    # pushed down and evaluate the whole model expression once more per row.
+    return out.orderBy(F.col("edge").desc_nulls_last(), *tiebreak).limit(n).where(F.col("edge").isNotNull())
 
 
 def probability_summary(df: DataFrame, column: str = "pHAT") -> DataFrame:

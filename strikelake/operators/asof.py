@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strikelake.operators.skew import DAY_MICROS
+from strikelake.operators.skew import SLICE_MICROS
 
 
 def asof_join(
@@ -21,7 +21,7 @@ def asof_join(
     direction: str = "backward",
     tolerance_micros: int | None = None,
     tiebreak: Sequence[str] = (),
-    slice_micros: int = 7 * DAY_MICROS,
+    slice_micros: int = SLICE_MICROS,
     matched_ts: str = "matched_ts",
 ) -> DataFrame:
     """Left rows with `values` (and the right time as `matched_ts`) of the closest right row.

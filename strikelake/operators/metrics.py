@@ -128,8 +128,7 @@ def equal_mass_bins(
         rows = touched.join(copies, unit)
         own_by = by
     rows = rows.select(*own_by, "_p", "_y", "_tie", F.col("m").cast("long").alias("m")).join(split, [*by, "_p"])
-    # Combine identical (tie, y) first, then rank inside md5 buckets of the straddling value.
-    rows = rows.groupBy(*by, "_p", "_first", "_size", "_tie", "_y").agg(F.sum("m").alias("m"))
+    # Rank inside md5 buckets of the straddling value; rows equal in (tie, y) may take any order.
     rows = rows.withColumn("_s", text_bucket(F.col("_tie")))
     buckets = rows.groupBy(*by, "_p", "_s").agg(F.sum("m").alias("_n"))
     run = Window.partitionBy(*by, "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,7 +164,7 @@ def stack_models(df: DataFrame, by: Sequence[str], y: str, model: str, baseline:
     ok_m = F.col(y).isNotNull() & finite(F.col(model)).isNotNull()
     ok_b = finite(F.col(baseline)).isNotNull()
     has = df.groupBy(*by).agg(F.max(ok_b).alias("_has_base"))
-    marked = df.join(F.broadcast(has), list(by)) if by else with_scalars(df, has)  # one row per split
+    marked = df.join(has, list(by)) if by else with_scalars(df, has)
     use = marked.where(ok_m & (ok_b | ~F.col("_has_base")))
     pairs = F.array(
         F.struct(F.lit("baseline_pRN").alias("model"), F.col(baseline).alias("p")),
@@ -180,8 +179,17 @@ def split_metrics(
 ) -> DataFrame:
     tall = stack_models(df.withColumn("_t", tie), by, y, model, baseline)
     keys = [*by, "model"]
-    out = point_metrics(tall, keys, y, "p").drop("mae", "rmse")
-    out = out.join(ece(tall, keys, y, "p", n_bins), keys)
+    yy, q = F.col(y), clip(F.col("p"), EPS, 1.0 - EPS)
+    # Losses and equal-width bins share one pass: sums per bin, then per split and model.
+    bins = tall.groupBy(*keys, width_bin(F.col("p"), n_bins).alias("_bin")).agg(
+        F.count("*").alias("_c"), F.sum(q).alias("_sp"), F.sum(yy.cast("double")).alias("_sy"),
+        F.sum(loss_log(yy, F.col("p"))).alias("_ll"), F.sum(loss_squared(yy, F.col("p"))).alias("_sq"),
+    )
+    total = F.sum("_c")
+    out = bins.groupBy(*keys).agg(
+        total.alias("n"), (F.sum("_ll") / total).alias("logloss"), (F.sum("_sq") / total).alias("brier"),
+        (F.sum(F.abs(F.col("_sp") - F.col("_sy"))) / total).alias("ece"),
+    )
     return out.join(ece_equal_mass(tall, keys, y, "p", F.col("_t"), eceq_bins), keys)
 
 

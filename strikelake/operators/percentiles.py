@@ -12,21 +12,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strikelake.operators.skew import with_scalars
+
 BINS = 1024
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], rounds: int = 2) -> DataFrame:
     """(groups..., prob, value) with numpy's default interpolation between neighbouring ranks."""
     g = list(groups)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    total = counted.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    counted, total = _counted(df, g, value)
     # Wanted 0-based ranks: floor and ceiling of p * (n - 1).
     pos = F.col("_p") * (F.col("_n") - 1)
     want = total.select(*g, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
     want = want.select(*g, "_p", pos.alias("_pos"), F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))).alias("_rank"))
+    at_rank = _values_at(counted, want.select(*g, "_rank").distinct(), g, rounds)
+    both = want.join(at_rank, [*g, "_rank"])
+    lo, hi = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    frac = F.max(F.col("_pos") - F.floor("_pos"))
+    return both.groupBy(*g, F.col("_p").alias("prob")).agg((lo + (hi - lo) * frac).alias("value"))
+
+
+def value_at_fraction(df: DataFrame, value: str, fraction: float, rounds: int = 2) -> DataFrame:
+    """One row: the value at 0-based position floor(n * fraction) in sorted order."""
+    counted, total = _counted(df, [], value)
+    want = total.select(F.floor(F.col("_n") * fraction).alias("_rank"))
+    return _values_at(counted, want, [], rounds).select(F.col("_v").alias("value"))
+
+
+def _counted(df: DataFrame, g: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    counted = df.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    total = counted.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    return counted, total if g else total.where(F.col("_n").isNotNull())
+
+
+def _values_at(counted: DataFrame, ranks: DataFrame, g: list[str], rounds: int) -> DataFrame:
+    """(groups..., _rank, _v) for 0-based ranks, by zooming into histogram bins."""
     path: list[str] = []
     pool = counted
-    open_ranks = want.select(*g, "_rank").distinct().withColumn("_k", F.col("_rank"))
+    open_ranks = ranks.withColumn("_k", F.col("_rank"))
     for level in range(rounds):
         key = [*g, *path]
         bucket = f"_b{level}"
@@ -47,15 +70,11 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     run = Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     pool = pool.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
     found = open_ranks.join(pool, key).where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c")))
-    at_rank = found.select(*g, "_rank", "_v")
-    both = want.join(at_rank, [*g, "_rank"])
-    lo, hi = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
-    frac = F.max(F.col("_pos") - F.floor("_pos"))
-    return both.groupBy(*g, F.col("_p").alias("prob")).agg((lo + (hi - lo) * frac).alias("value"))
+    return found.select(*g, "_rank", "_v")
 
 
 def _join(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    return a.join(b, key) if key else a.crossJoin(F.broadcast(b))
+    return a.join(b, key) if key else with_scalars(a, b)
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def dataset_summary(df: DataFrame, date_col: str, ticker: str = "ticker", sample
     names = df.select(name.alias("_t")).where(F.col("_t") != "").distinct()
     count = names.agg(F.count("*").alias("ticker_count"))
     head = names.orderBy("_t").limit(sample).agg(F.array_join(F.sort_array(F.collect_list("_t")), ",").alias("ticker_sample"))
-    return base.crossJoin(weeks).crossJoin(count).crossJoin(head)
+    return with_scalars(with_scalars(with_scalars(base, weeks), count), head)
 
 
 def available(df: DataFrame, candidates: Sequence[str]) -> list[str]:

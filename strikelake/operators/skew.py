@@ -16,6 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DAY_MICROS = 86_400_000_000
+# Width of a slice of the time axis: one hour keeps the share of even a very hot key small enough for
+# one task (a third of 100 TB over ten years is a few hundred MB an hour).
+SLICE_MICROS = 3_600_000_000
 
 
 def pick_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
@@ -39,11 +42,11 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Dat
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row table (a global aggregate) to every row."""
+    """Attach a global aggregate (one row, or a histogram of fixed size) to every row."""
     return df.crossJoin(F.broadcast(scalars))
 
 
-def time_slice(ts: Column, slice_micros: int = DAY_MICROS) -> Column:
+def time_slice(ts: Column, slice_micros: int = SLICE_MICROS) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(slice_micros)).cast("long")
 
 

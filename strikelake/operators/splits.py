@@ -9,6 +9,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strikelake.operators.percentiles import value_at_fraction
 from strikelake.operators.relational import drop_shared_groups
 from strikelake.operators.skew import with_scalars
 
@@ -60,25 +61,9 @@ def split_validation(train: DataFrame, week: str, val_weeks: int | None = None)
 
 
 def fraction_boundary(df: DataFrame, order: str, fraction: float) -> DataFrame:
-    """One row: the order value at position floor(n * fraction). Counts per value, never all rows in one task."""
-    counts = df.groupBy(order).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    # A running sum over distinct order values (dates or times), read as one ordered pass.
-    from pyspark.sql import Window
-
-    day = F.to_date(order)
-    per_day = counts.groupBy(day.alias("_d")).agg(F.sum("_n").alias("_dn"))
-    run = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    per_day = per_day.withColumn("_before", F.coalesce(F.sum("_dn").over(run), F.lit(0)))
-    per_day = with_scalars(per_day, total)
-    target = F.floor(F.col("_total") * fraction)
-    hit_day = per_day.where((F.col("_before") <= target) & (target < F.col("_before") + F.col("_dn")))
-    inside = counts.withColumn("_d", day).join(F.broadcast(hit_day.select("_d", "_before", target.alias("_target"))), "_d")
-    step = Window.partitionBy("_d").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("_b", F.col("_before") + F.coalesce(F.sum("_n").over(step), F.lit(0)))
-    return inside.where((F.col("_b") <= F.col("_target")) & (F.col("_target") < F.col("_b") + F.col("_n"))).select(
-        F.col(order).alias("boundary")
-    )
+    """One row: the time at position floor(n * fraction), found by rank selection, not by a global sort."""
+    micros = df.select(F.unix_micros(order).alias("_us"))  # exact as a double until the year 2255
+    return value_at_fraction(micros, "_us", fraction).select(F.timestamp_micros(F.col("value").cast("bigint")).alias("boundary"))
 
 
 def embargo_days(train: DataFrame, boundary: DataFrame, days: int, date_col: str) -> DataFrame:
@@ -99,7 +84,7 @@ def embargo_weeks(train: DataFrame, boundary: DataFrame, days: int, week: str) -
 def gap_days(train: DataFrame, boundary: DataFrame, date_col: str) -> DataFrame:
     a = train.agg(F.max(date_col).alias("_a"))
     b = boundary.agg(F.min(date_col).alias("_b"))
-    return a.crossJoin(b).select(F.date_diff("_b", "_a").alias("gap_days"))
+    return with_scalars(a, b).select(F.date_diff("_b", "_a").alias("gap_days"))
 
 
 def time_split(

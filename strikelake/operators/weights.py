@@ -99,7 +99,7 @@ def weighting_v3(
     tickers = groups.groupBy(*sc, "_t").agg(F.count("*").cast("double").alias("weight_ticker_group_count"))
     if mode == "sqrt_inv":
         mean = tickers.groupBy(*sc).agg(F.avg("weight_ticker_group_count").alias("_mean"))
-        tickers = tickers.join(F.broadcast(mean), sc) if sc else with_scalars(tickers, mean)
+        tickers = tickers.join(mean, sc) if sc else with_scalars(tickers, mean)
         raw = F.sqrt(F.col("_mean") / F.greatest(F.col("weight_ticker_group_count"), F.lit(1.0)))
         tickers = tickers.withColumn("weight_ticker_w_raw", clip(raw, alpha_min, alpha_max)).drop("_mean")
     else:
@@ -118,7 +118,7 @@ def weighting_v3(
     mean = groups.groupBy(*sc).agg(
         (F.sum(F.col("weight_ticker_w_raw") * F.col("weight_trade_focus_mult")) / F.sum("weight_group_size")).alias("_m")
     )
-    groups = groups.join(F.broadcast(mean), sc) if sc else with_scalars(groups, mean)
+    groups = groups.join(mean, sc) if sc else with_scalars(groups, mean)
     groups = groups.withColumn("weight_final", F.col("weight_raw") / F.col("_m")).drop("_m", "_t")
     return keyed.join(groups, [*sc, "weight_group_key"]).withColumn("weighting_version", F.lit(VERSION))
 

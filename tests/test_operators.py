@@ -39,7 +39,7 @@ def test_asof_join_equals_brute_force_with_a_hot_key(spark, exact, direction):
     right = [(key(), at(), i, float(i)) for i in range(200)]
     out = asof.asof_join(
         frame(spark, left, "i int, k string, t timestamp"), frame(spark, right, "k string, rt timestamp, tie int, v double"), ["k"], "t", "rt", ["v"],
-        exact=exact, direction=direction, tiebreak=["tie"], slice_micros=skew.DAY_MICROS,
+        exact=exact, direction=direction, tiebreak=["tie"], slice_micros=skew.DAY_MICROS * 3,
     ).collect()
     assert len(out) == 300
     assert {r["i"]: r["v"] for r in out} == asof_brute(left, right, exact, direction == "forward")
