@@ -76,11 +76,11 @@ def _hourly(spark, d):
 @register(
     "hourly_market_table",
     *HOURTAB,
-    sql="""SELECT market_id, epoch_us(h) AS timestamp_utc, price AS polymarket_ask, price * (1 - 0.005::DOUBLE) AS polymarket_bid, prn AS "pRN", epoch_us(asof_time) AS prn_asof_time FROM j""",
+    sql="""SELECT market_id, epoch_us(h) AS timestamp_utc, price AS pm_ask, price * (1 - 0.005::DOUBLE) AS pm_bid, prn AS "pRN", epoch_us(asof_time) AS prn_asof_time FROM j""",
 )
 def hourly_market_table(spark, d):
     return _hourly(spark, d).select(
-        "market_id", F.unix_micros("timestamp_utc").alias("timestamp_utc"), "polymarket_ask", "polymarket_bid", "pRN",
+        "market_id", F.unix_micros("timestamp_utc").alias("timestamp_utc"), "pm_ask", "pm_bid", "pRN",
         F.unix_micros("prn_asof_time").alias("prn_asof_time"),
     )
 
@@ -94,10 +94,10 @@ def hourly_market_table(spark, d):
 def market_series_by_strike(spark, d):
     s = MR.market_series(_hourly(spark, d))
     known = F.filter("points", lambda p: p["pRN"].isNotNull())
-    asked = F.filter("points", lambda p: p["polymarket_ask"].isNotNull())
+    asked = F.filter("points", lambda p: p["pm_ask"].isNotNull())
     return s.select(
         "ticker", "threshold", "week_friday", "market_id", F.size("points").cast("bigint").alias("points"),
-        F.try_element_at(asked, F.lit(1))["polymarket_ask"].alias("first_ask"), F.try_element_at(known, F.lit(-1))["pRN"].alias("last_prn"),
+        F.try_element_at(asked, F.lit(1))["pm_ask"].alias("first_ask"), F.try_element_at(known, F.lit(-1))["pRN"].alias("last_prn"),
     )
 
 

@@ -424,7 +424,7 @@ def keep_last_per_key(spark, d):
   CASE WHEN l_discount > 0.08 THEN NULL ELSE CAST(l_quantity AS INT) END AS n, CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax END AS sp FROM lineitem)""",
     """k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY coalesce(af, 1e9), coalesce(ef, 1e9),
     CASE lower(qs) WHEN 'bidask_mid' THEN 0 WHEN 'close_fallback' THEN 1 ELSE 9 END, coalesce(n, -1) DESC, coalesce(sp, 1e9), l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn FROM rows)""",
-    sql="SELECT row_id, l_orderkey, l_linenumber, l_suppkey, qs AS theta_quote_source, n AS n_chain_used FROM k WHERE rn = 1",
+    sql="SELECT row_id, l_orderkey, l_linenumber, l_suppkey, qs AS quote_source, n AS n_chain_used FROM k WHERE rn = 1",
 )
 def best_source_dedupe(spark, d):
     q = F.col("l_quantity").cast("bigint")
@@ -432,12 +432,12 @@ def best_source_dedupe(spark, d):
         F.col("l_partkey").alias("row_id"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
         F.when(F.col("l_linenumber") % 4 == 0, None).otherwise(F.col("l_linenumber") % 3).alias("asof_fallback_days"),
         (q % 3).alias("expiry_fallback_days"),
-        F.when(q % 4 == 0, "BIDASK_MID").when(q % 4 == 1, "close_fallback").when(q % 4 == 2, "other").alias("theta_quote_source"),
+        F.when(q % 4 == 0, "BIDASK_MID").when(q % 4 == 1, "close_fallback").when(q % 4 == 2, "other").alias("quote_source"),
         F.when(F.col("l_discount") > 0.08, None).otherwise(F.col("l_quantity").cast("int")).alias("n_chain_used"),
         F.when(F.col("l_tax") > 0.06, None).otherwise(F.col("l_tax")).alias("rel_spread_median"),
     )
     out = R.best_source(rows, tiebreak=["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
-    return out.select("row_id", "l_orderkey", "l_linenumber", "l_suppkey", "theta_quote_source", "n_chain_used")
+    return out.select("row_id", "l_orderkey", "l_linenumber", "l_suppkey", "quote_source", "n_chain_used")
 
 
 @register(

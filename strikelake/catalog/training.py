@@ -62,8 +62,9 @@ def jobs(spark, d):
     """Every week that has a shipment, Monday to Thursday, for every ticker of the feed."""
     day = F.to_date("l_shipdate")
     weeks = load(spark, d, "lineitem").select(F.date_sub(day, F.weekday(day)).alias("week_monday")).distinct()
+    # The feed's tickers are 0 to 9.
     names = feed(spark, d).select("ticker").distinct()
-    grid = weeks.crossJoin(F.broadcast(names))  # ten tickers by construction of the feed
+    grid = weeks.withColumn("ticker", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))).join(names, "ticker", "left_semi")
     offset = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("_o")
     return grid.select("ticker", "week_monday", F.date_add("week_monday", 4).alias("week_friday"), offset).select(
         "ticker", "week_monday", "week_friday", F.date_add("week_monday", F.col("_o")).alias("asof_target")
@@ -474,3 +475,36 @@ def c_search_over_folds(spark, d):
     scores = L.scores_table(spark, L.c_scores(parts, [0.01, 1.0], ["w", "tax", "discount"]))
     rows.unpersist()
     return L.one_standard_error(scores)
+
+
+@register("outer_fold_trial_search")
+def outer_fold_trial_search(spark, d):
+    """Rows-only: two trials over two outer folds, their statistics and gates."""
+    from strikelake.functions.calendar import next_friday
+    from strikelake.models.search import run_trials
+    from strikelake.operators import splits as P
+
+    x = labelled(spark, d).withColumn("week", next_friday(F.col("asof_date")))
+    folds = P.outer_folds(P.week_list(x, "week"), 20, 2, 10, 2)
+    trials_ = [
+        {"trial_id": 1, "features": ["discount"], "C": 1.0, "calibration": "none"},
+        {"trial_id": 2, "features": ["discount", "tax", "w"], "C": 0.1, "calibration": "none"},
+    ]
+    deltas = run_trials(spark, x, trials_, folds, "week", y="y", baseline="p_base")
+    stats = Q.fold_statistics(deltas, delta="delta").withColumn("score", F.col("median_delta"))
+    return S.acceptance(stats).select("trial_id", "n_folds", "score", "folds_improved", "worst_delta", F.size("rejected_because").alias("gates_failed"))
+
+
+@register("snapshot_probability_table")
+def snapshot_probability_table(spark, d):
+    """Rows-only: the whole snapshot path; its steps have oracles of their own."""
+    from strikelake.catalog import chains as CH_
+    from strikelake.plans.snapshot import snapshot_probabilities
+
+    q = CH_.quotes(spark, d)
+    targets = q.select(
+        *CH_.CHAIN, (F.col("strike") + 0.5).alias("K"), F.lit(100.0).alias("spot"), F.lit(CH_.T_YEARS).alias("t_years"), F.lit(CH_.RATE).alias("rate"),
+        F.when(F.col("ticker") % 2 == 0, 0.35).alias("atm_sigma"),
+    ).distinct()
+    out = snapshot_probabilities(targets, q, CH_.CHAIN, CH_.TIE)
+    return out.select(*CH_.CHAIN, "K", "pRN_raw", "pRN", "rn_method", "rn_monotone_adjusted")

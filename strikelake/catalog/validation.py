@@ -251,3 +251,43 @@ def weekly_market_coverage(spark, d):
     t = ticks(spark, d).withColumn("week_friday", calendar.display_friday(F.to_date("timestamp_utc")))
     per_market = t.groupBy("week_friday", "market_id").agg(F.count("*").alias("_n"))
     return per_market.groupBy("week_friday").agg(F.count("market_id").alias("markets"), F.sum("_n").alias("points"))
+
+
+@register(
+    "rows_per_stage",
+    TICKS,
+    sql="""SELECT 'ticks' AS stage, count(*) AS rows FROM ticks UNION ALL SELECT 'bars_1d', count(*) FROM (SELECT DISTINCT market_id, CAST(timestamp_utc AS DATE) FROM ticks)
+  UNION ALL SELECT 'quotes', count(*) FROM lineitem""",
+)
+def rows_per_stage(spark, d):
+    t = ticks(spark, d)
+    return Q.stage_rows({"ticks": t, "bars_1d": bars.ohlc(t, "1d", fill_gaps=False), "quotes": option_quotes(spark, d)})
+
+
+@register(
+    "run_output_tables",
+    sql="""SELECT o_orderstatus AS split, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1""",
+)
+def run_output_tables(spark, d):
+    from strikelake.session import scratch_path
+    from strikelake.sources import sinks
+
+    path = scratch_path(spark, "run")
+    table = load(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("split")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    sinks.write_run_outputs(path, {"metrics": table})
+    return spark.read.schema("split STRING, n BIGINT, top DOUBLE").json(f"{path}/metrics")
+
+
+@register(
+    "base_weight_resolution",
+    LABELLED,
+    "b AS (SELECT ticker, CASE WHEN l_linenumber = 1 THEN -1.0::DOUBLE WHEN l_linenumber = 2 THEN NULL ELSE w END AS sw FROM labelled)",
+    sql=f"SELECT ticker, {r6('sum(CASE WHEN sw > 0 THEN sw ELSE 1.0 END)')} AS total FROM b GROUP BY 1",
+)
+def base_weight_resolution(spark, d):
+    from strikelake.operators.weights import base_weight
+
+    n = F.col("l_linenumber")
+    legacy = F.when(n == 1, -1.0).when(n == 2, None).otherwise(F.col("w"))
+    x = labelled(spark, d).select("ticker", legacy.alias("sample_weight_final"))
+    return base_weight(x, "weight_final").groupBy("ticker").agg(r(F.sum("w"), 6).alias("total"))

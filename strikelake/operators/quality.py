@@ -209,3 +209,12 @@ def drop_log(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     marked = rows.withColumn("drop_reason", reason)
     counts = marked.where(F.col("drop_reason").isNotNull()).groupBy("drop_reason").agg(F.count("*").alias("dropped"))
     return marked.where(F.col("drop_reason").isNull()).drop("drop_reason"), counts
+
+
+def stage_rows(stages: Mapping[str, DataFrame]) -> DataFrame:
+    """(stage, rows) of the tables of a run."""
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, df in stages.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -92,7 +92,7 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 def best_source(df: DataFrame, key: str = "row_id", tiebreak: Sequence[str] = ()) -> DataFrame:
     """One row per id: fewest fallback days, best quote source, most strikes used, tightest spread."""
     far, none = F.lit(1e9), F.lit(-1.0)
-    quote = F.lower("theta_quote_source")
+    quote = F.lower("quote_source")
     order = [
         F.coalesce(F.col("asof_fallback_days").cast("double"), far),
         F.coalesce(F.col("expiry_fallback_days").cast("double"), far),
@@ -221,3 +221,9 @@ def union_all(*frames: DataFrame) -> DataFrame:
 def backfill(existing: DataFrame, extra: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows of `extra` with ids not stored yet are added; the caller recomputes weights on the whole."""
     return union_all(existing, extra.join(existing.select(key), key, "left_anti"))
+
+
+def output_order(df: DataFrame, dates: Sequence[str] = ("asof_date", "snapshot_date", "week_friday"), strike: Sequence[str] = ("K", "threshold")) -> DataFrame:
+    """Deterministic order of a written dataset: first date column, ticker, strike. Only for final output."""
+    keys = [first_column(df, dates), "ticker" if "ticker" in df.columns else None, first_column(df, strike)]
+    return df.orderBy(*[k for k in keys if k])

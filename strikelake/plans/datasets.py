@@ -44,7 +44,7 @@ def training_view(rows: DataFrame) -> DataFrame:
 SNAPSHOT_EXTRAS = (
     "asof_target", "asof_date", "week_monday", "week_friday", "spot_scale_used", "dividend_yield", "forward_price",
     "moneyness_ref", "moneyness_ref_price", "used_max_abs_logm", "n_band_raw", "n_band_inside", "calls_k_min",
-    "calls_k_max", "theta_quote_source", "n_chain_raw", "n_chain_used", "rel_spread_median", "dropped_liquidity",
+    "calls_k_max", "quote_source", "n_chain_raw", "n_chain_used", "rel_spread_median", "dropped_liquidity",
     "dropped_intrinsic", "dropped_insane", "median_dK", "min_dK",
 )
 
@@ -78,7 +78,7 @@ def prn_view(rows: DataFrame, method: str, version: str, config_hash: str) -> Da
         F.lit(method), F.lit(version),
     )
     return rows.select(
-        "row_id", "pRN_raw", "pRN", F.lit(method).alias("rn_method"), F.col("theta_quote_source").alias("rn_quote_source"),
+        "row_id", "pRN_raw", "pRN", F.lit(method).alias("rn_method"), F.col("quote_source").alias("rn_quote_source"),
         (flag("prn_monotone_adj_intervals") | flag("prn_monotone_adj_targets")).alias("rn_monotone_adjusted"),
         curve.alias("curve_id"), F.lit(version).alias("prn_version"), F.lit(config_hash).alias("prn_config_hash"),
         F.col("n_chain_used").alias("n_calls_used"), "calls_k_min", "calls_k_max", F.col("median_dK").alias("deltaK"),

@@ -35,7 +35,7 @@ def hourly_market_table(
     guarded = F.when(~leak, F.col("timestamp_utc")).otherwise(F.raise_error(F.lit("leak check failed")))
     return out.withColumns(
         {
-            "timestamp_utc": guarded, "polymarket_buy": ask, "polymarket_ask": ask, "polymarket_bid": clip(ask * (1 - spread_bps / 10_000.0), 0.0, 1.0),
+            "timestamp_utc": guarded, "pm_buy": ask, "pm_ask": ask, "pm_bid": clip(ask * (1 - spread_bps / 10_000.0), 0.0, 1.0),
             "week_friday": display_friday(F.to_date("timestamp_utc")),
         }
     ).drop("price")
@@ -68,6 +68,6 @@ def daily_snapshot(markets: DataFrame, ticks: DataFrame, benchmark: DataFrame, n
 def market_series(table: DataFrame) -> DataFrame:
     """Ordered points per (ticker, threshold, week): hourly rows of one week, so each list is short."""
     point = F.struct(
-        "timestamp_utc", "polymarket_buy", "polymarket_bid", F.coalesce("polymarket_ask", "polymarket_buy").alias("polymarket_ask"), "pRN"
+        "timestamp_utc", "pm_buy", "pm_bid", F.coalesce("pm_ask", "pm_buy").alias("pm_ask"), "pRN"
     )
     return table.groupBy("ticker", "threshold", "week_friday", "market_id").agg(F.sort_array(F.collect_list(point)).alias("points"))

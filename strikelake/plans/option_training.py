@@ -151,7 +151,7 @@ def training_rows(
         "pRN", r7(F.lit(1.0) - F.col("pRN")).alias("qRN"), "pRN_raw", r7(F.lit(1.0) - F.col("pRN_raw")).alias("qRN_raw"),
         F.when(F.col("spot_expiry") > F.col("K"), 1).otherwise(0).alias("outcome_ST_gt_K"), F.bround("used_band", 6).alias("used_max_abs_logm"),
         "n_band_raw", "n_band_inside", F.lit("forward" if rules.forward_moneyness else "spot").alias("moneyness_ref"),
-        r7(F.col("k_min")).alias("calls_k_min"), r7(F.col("k_max")).alias("calls_k_max"), F.col("quote_source").alias("theta_quote_source"),
+        r7(F.col("k_min")).alias("calls_k_min"), r7(F.col("k_max")).alias("calls_k_max"), "quote_source",
         "n_chain_raw", "n_chain_used", "rel_spread_median", "dropped_liquidity", "dropped_intrinsic", "dropped_insane", "prn_monotone_adj_intervals",
         "prn_monotone_adj_targets", "median_dK", "min_dK",
     ).withColumnRenamed("spot_scale", "spot_scale_used")
