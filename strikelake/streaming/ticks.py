@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strikelake.operators.bars import newer_than_stored
 from strikelake.operators.skew import pick_row
+from strikelake.session import configure
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream of a parquet table; the schema is taken from the table, times become UTC instants."""
+    configure(spark)
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
@@ -64,10 +66,21 @@ def enrich(ticks: DataFrame, intervals: DataFrame, keys: Sequence[str], values:
 
 
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
-    """Process what is there and stop (the scheduled form of the job)."""
-    query = (
-        df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
-    )
+    """Process what is there and stop (the scheduled form of the job).
+
+    The number of state stores is fixed by a stream's first run, so it is set to the cores at hand
+    instead of a default meant for batch shuffles.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        query = (
+            df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+        )
+    finally:
+        spark.conf.set(name, before)
     query.awaitTermination()
 
 
