@@ -453,3 +453,18 @@ def bootstrap_metric_intervals(spark, d):
     deltas = M.bootstrap_deltas(x.withColumn("_unit", unit), "_unit", "y", "p_model", "p_base", tie(), replicates=12)
     out = M.bootstrap_intervals(deltas)
     return out.select(*[r(F.col(c), 6).alias(c) for c in out.columns if c.startswith("delta_")], "bootstrap_b")
+
+
+@register(
+    "row_tail_split",
+    "x AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events)",
+    sql="SELECT event_id, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'fit' ELSE 'val' END AS split FROM x",
+)
+def row_tail_split(spark, d):
+    from strikelake.operators.skew import time_slice
+    from strikelake.sources.tables import load
+
+    e = load(spark, d, "events").select("event_id", "ts")
+    fit, val, _ = P.resolve_validation(e, "week", ["ts", "event_id"], time_slice(F.col("ts")))
+    part = lambda x, name: x.select("event_id", F.lit(name).alias("split"))
+    return part(fit, "fit").unionByName(part(val, "val"))

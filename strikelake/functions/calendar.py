@@ -106,6 +106,21 @@ def parse_dte(text: str) -> list[int]:
     return list(out)
 
 
+def parse_range(text: str | None) -> tuple[date | None, date | None]:
+    """'2024-01-01:2024-01-31', one side left open, or one day for both ends."""
+    raw = (text or "").strip()
+    if not raw:
+        return None, None
+    first, colon, last = (t.strip() for t in raw.partition(":"))
+    start = date.fromisoformat(first) if first else None
+    end = (date.fromisoformat(last) if last else None) if colon else start
+    if start is None and end is None:
+        raise ValueError(f"no date in {text!r}")
+    if start and end and start > end:
+        raise ValueError(f"range {text!r} ends before it starts")
+    return start, end
+
+
 def schedule(
     spark: SparkSession,
     start: date,

@@ -164,7 +164,11 @@ def fallback_days(spot_source: Column) -> Column:
 
 
 def enrich_snapshot(df: DataFrame, rate: float = 0.03, zone: str = "America/New_York") -> DataFrame:
-    """Baseline columns with defaults plus all derived features, on a 365-day year."""
+    """Baseline columns with defaults plus all derived features, on a 365-day year.
+
+    A raw probability or fallback-day column that is wholly empty counts as missing.
+    """
+    filled = lambda name: first_column(df, (name,), with_values=True) is not None
     expiry = F.col("expiry_ts_utc" if "expiry_ts_utc" in df.columns else "event_endDate").cast("timestamp")
     out = ensure_columns(
         df, {k: F.lit(v) if v is not None else F.lit(None).cast("double") for k, v in SNAPSHOT_DEFAULTS.items()}
@@ -172,7 +176,7 @@ def enrich_snapshot(df: DataFrame, rate: float = 0.03, zone: str = "America/New_
     spot = num(out, "S")
     asof = F.to_date(F.from_utc_timestamp("snapshot_time_utc", zone)) if _has(df, "snapshot_time_utc") else F.lit(None).cast("date")
     lag = fallback_days(F.col("spot_source")).cast("double") if _has(df, "spot_source") else F.lit(None).cast("double")
-    if "asof_fallback_days" in df.columns:
+    if filled("asof_fallback_days"):
         lag = F.col("asof_fallback_days").cast("double")
     out = out.withColumns(
         {
@@ -189,7 +193,7 @@ def enrich_snapshot(df: DataFrame, rate: float = 0.03, zone: str = "America/New_
             "dividend_yield": F.coalesce(num(out, "dividend_yield"), F.lit(0.0)),
         }
     )
-    if "pRN_raw" not in out.columns:
+    if not filled("pRN_raw"):
         out = out.withColumn("pRN_raw", F.col("pRN"))
     fwd = forward_price(spot, F.lit(rate), F.col("dividend_yield"), F.col("T_years"))
     own = num(out, "forward_price")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelake.operators.percentiles import value_at_fraction
 from strikelake.operators.relational import drop_shared_groups
-from strikelake.operators.skew import with_scalars
+from strikelake.operators.skew import with_position, with_scalars
 
 MIN_TRAIN_WEEKS = 8
 
@@ -60,6 +60,29 @@ def split_validation(train: DataFrame, week: str, val_weeks: int | None = None)
     return marked.where(~held).drop("_vs"), marked.where(held).drop("_vs")
 
 
+def split_row_tail(df: DataFrame, order: list[str], slice_col: Column, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(head, tail) by sorted position: at least one head row, and at least one tail row when there are two.
+
+    `slice_col` must not decrease along `order`; positions come from counts per slice, not a global sort.
+    """
+    total = df.agg(F.count("*").alias("_n"))
+    cut = F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))
+    cut = F.when(cut >= F.col("_n"), F.greatest(F.lit(0), F.col("_n") - 1)).otherwise(cut)
+    marked = with_scalars(with_position(df, [], order, slice_col, "_pos"), total.withColumn("_cut", cut).drop("_n"))
+    return (
+        marked.where(F.col("_pos") <= F.col("_cut")).select(*df.columns), marked.where(F.col("_pos") > F.col("_cut")).select(*df.columns)
+    )
+
+
+def resolve_validation(
+    train: DataFrame, week: str, order: list[str], slice_col: Column, val_weeks: int | None = None
+) -> tuple[DataFrame, DataFrame, str]:
+    """Week-grouped split when there are at least two weeks, else the row tail; the mode comes along."""
+    if week in train.columns and train.select(week).dropna().distinct().limit(2).count() == 2:
+        return (*split_validation(train, week, val_weeks), "week_group")
+    return (*split_row_tail(train, order, slice_col), "row_tail")
+
+
 def fraction_boundary(df: DataFrame, order: str, fraction: float) -> DataFrame:
     """One row: the time at position floor(n * fraction), found by rank selection, not by a global sort."""
     micros = df.select(F.unix_micros(order).alias("_us"))  # exact as a double until the year 2255

@@ -325,3 +325,24 @@ def test_empty_tables_pass_through(spark):
     assert bars.downsample(t, 5, ["market_id"]).count() == 0
     assert exact_percentiles(t, ["market_id"], "price", [0.5]).count() == 0
     assert pd.isna(metrics.point_metrics(t.withColumn("y", F.lit(1)), [], "y", "price").first()["logloss"])
+
+
+@pytest.mark.parametrize("n,head", [(1, 0), (2, 1), (5, 4), (10, 8)])
+def test_row_tail_keeps_both_sides(spark, n, head):
+    a, b = splits.split_row_tail(spark.range(n), ["id"], F.floor(F.col("id") / 3))
+    assert (a.count(), b.count()) == (head, n - head)
+
+
+def test_range_text():
+    assert cal.parse_range("2024-01-02:2024-01-03") == (dt.date(2024, 1, 2), dt.date(2024, 1, 3))
+    assert cal.parse_range("2024-01-02") == (dt.date(2024, 1, 2), dt.date(2024, 1, 2))
+    assert cal.parse_range(":2024-01-03") == (None, dt.date(2024, 1, 3))
+    assert cal.parse_range("") == (None, None)
+    with pytest.raises(ValueError):
+        cal.parse_range("2024-02-01:2024-01-01")
+
+
+def test_empty_raw_probability_column_counts_as_missing(spark):
+    df = frame(spark, [(0.4, None, 100.0, 100.0, 2.0, D(2024, 1, 2), D(2024, 1, 5))], "pRN double, pRN_raw double, K double, S double, T_days double, snapshot_time_utc timestamp, event_endDate timestamp")
+    r = features.enrich_snapshot(df).first()
+    assert r["pRN_raw"] == 0.4 and r["rv20"] == 0.3 and r["asof_date"] == dt.date(2024, 1, 1)
