@@ -32,7 +32,7 @@ def parse_tickers(raw: str | Iterable[str] | None) -> list[str]:
 
 
 def with_weight_keys(df: DataFrame, probe: bool = True) -> DataFrame:
-    """snapshot_date, expiry_date, snapshot_dow, week_id and the cluster keys, from whichever columns exist.
+    """snapshot_date, expiry_date, snapshot_dow, week_id and the group key, from whichever columns exist.
 
     `probe` looks for the first candidate that holds values; without it the first present one is used.
     """
@@ -52,17 +52,21 @@ def with_weight_keys(df: DataFrame, probe: bool = True) -> DataFrame:
             "_dow": raw_dow,
         }
     )
-    out = out.withColumn("snapshot_dow", calendar.weekday_label(F.col("_dow"), F.col("snapshot_date")))
-    snap_c = keys.cluster_snapshot(F.col("ticker"), F.col("expiry_date"), F.col("snapshot_date"), F.col("snapshot_dow"))
-    return out.withColumns(
+    out = out.withColumn("snapshot_dow", calendar.weekday_label(F.col("_dow"), F.col("snapshot_date"))).drop("_dow")
+    snap = keys.cluster_snapshot(F.col("ticker"), F.col("expiry_date"), F.col("snapshot_date"), F.col("snapshot_dow"))
+    return out.withColumn("weight_group_key", snap)
+
+
+def with_cluster_keys(keyed: DataFrame) -> DataFrame:
+    """The cluster texts derived from the weight keys; added after the group join, so they are not shuffled."""
+    return keyed.withColumns(
         {
             "cluster_week": keys.cluster_week(F.col("ticker"), F.col("expiry_date")),
-            "cluster_snapshot": snap_c,
+            "cluster_snapshot": F.col("weight_group_key"),
             "cluster_strike": keys.cluster_strike(F.col("ticker"), F.col("expiry_date"), F.round("_k", 7)),
-            "weight_group_key": snap_c,
-            "group_id": snap_c,
+            "group_id": F.col("weight_group_key"),
         }
-    ).drop("_dow")
+    ).drop("_k")
 
 
 def weighting_v3(
@@ -92,7 +96,6 @@ def weighting_v3(
         keyed = keyed.withColumn("weight_group_key", checked)
     else:
         keyed = keyed.where(~critical)
-    keyed = keyed.drop("_k")
     sc = list(scope)
     # All weights depend on the group only, so they are worked out on the table of groups.
     groups = keyed.groupBy(*sc, upper_ticker().alias("_t"), "weight_group_key").agg(F.count("*").cast("double").alias("weight_group_size"))
@@ -120,7 +123,7 @@ def weighting_v3(
     )
     groups = groups.join(mean, sc) if sc else with_scalars(groups, mean)
     groups = groups.withColumn("weight_final", F.col("weight_raw") / F.col("_m")).drop("_m", "_t")
-    return keyed.join(groups, [*sc, "weight_group_key"]).withColumn("weighting_version", F.lit(VERSION))
+    return with_cluster_keys(keyed.join(groups, [*sc, "weight_group_key"])).withColumn("weighting_version", F.lit(VERSION))
 
 
 def base_weight(df: DataFrame, column: str | None) -> DataFrame:
