@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikelake.session import materialize
@@ -38,11 +38,9 @@ def _down(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def key_filter(keys: Column | str, rows: DataFrame, words: int = FILTER_WORDS) -> np.ndarray:
+def key_filter(rows: DataFrame, key: str, words: int = FILTER_WORDS) -> np.ndarray:
     """A bitmap of 64 * ``words`` bits that holds every (uniformly hashed) key; its size doesn't grow with the rows."""
-    key = F.col(keys) if isinstance(keys, str) else keys
-    bit = F.shiftright(F.lit(1).cast("long"), F.lit(0))
-    picked = rows.select(F.pmod(F.shiftright(key, 6), F.lit(words)).cast("int").alias("w"), F.call_function("shiftleft", bit, key.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    picked = rows.selectExpr(f"cast(pmod(shiftright({key}, 6), {words}L) as int) as w", f"shiftleft(1L, cast({key} & 63L as int)) as b")
     bits = np.zeros(words, np.int64)
     for row in picked.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most ``words`` rows
         bits[row["w"]] = row["b"]

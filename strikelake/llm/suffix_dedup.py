@@ -204,7 +204,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     dictionary = texts.mapInArrow(_dictionary, "key long, phrase long")
     counted = dictionary.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).filter("n > 1")
     counted = materialize(counted.select("key", "n", (F.col("lo") != F.col("hi")).alias("open")), "contexts")
-    places = texts.mapInArrow(_places(key_filter("key", counted), key_filter("key", counted.filter("open"))), _PLACES)
+    places = texts.mapInArrow(_places(key_filter(counted, "key"), key_filter(counted.filter("open"), "key")), _PLACES)
     places = materialize(places.join(counted, "key"), "places")
     settled = places.filter("not open").select("doc", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
     few = places.filter(f"open and n <= {HOT}").select("key", "phrase", "doc", "at", "high", "text")
