@@ -1,10 +1,10 @@
 """Mixing to target weights by soft membership, in column expressions only.
 
 A labelled table fits a Gaussian naive Bayes over the shares of some characters (one aggregate per domain); every document
-gets posteriors of all domains from its whole text. Rates r >= least rate then minimise, by projected gradient,
-1/2 sum_k (e_k - t_k)^2 + damping/2 sum_i w_i (r_i - 1)^2, where w are token shares, e_k = sum_i w_i p_ik r_i the expected
-tokens of domain k and t_k its target. A step needs only the K totals e, one aggregate over all documents; a document's rate
-is a nested expression of the steps so far, so nothing else is stored between steps.
+gets posteriors of all domains from its whole text. Rates r >= least rate then minimise sum_k (e_k - t_k)^2 by projected
+gradient, from rates of 1, where e_k is the tokens of domain k expected from the rates and posteriors and t_k its target. A step
+needs only totals of size K and K^2, one aggregate over all documents; a document's rate is a nested expression of
+the steps so far, so nothing else is stored between steps.
 
 Defined cases: null text is empty and has no tokens; documents without labels take part with their posteriors; labelled rows
 with a null id or domain are left out, of repeated labels the least domain counts; without labelled rows every rate is 1 and the
@@ -25,7 +25,7 @@ from strikelake.session import materialize
 PROBES = ("e", "a", "n", "i", "s", "r", "t", "o", "l", "d", "u", "c", "h", "g", "q", "é", "è", "ñ", "ó", "í", "ä", "ü", "ö", "ß", "ç", "th", "ch", "en")
 #: Labelled rows the classifier is fitted on at most, by hash order; few enough to be broadcast.
 MAX_FIT_ROWS = 20_000
-STEPS = 60
+STEPS = 20
 TOLERANCE = 0.005
 
 Targets = Callable[[dict[str, float]], dict[str, float]]
@@ -89,39 +89,53 @@ def with_posteriors(docs: DataFrame, model: dict, text_col: str, temperature: fl
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_tokens", F.array(*[F.col(f"mix_e{k}") / total for k in range(len(scores))]).alias("mix_p"))
 
 
-def rate_of(steps: list[list[float]], shrink: float, least: float) -> Column:
-    """The rate after the steps: each moves it back towards 1 by ``shrink``, along the posteriors, and to ``least`` at least."""
+def rate_of(steps: list[list[float]], least: float) -> Column:
+    """The rate after the steps: each moves it along the posteriors and projects it onto rates of ``least`` or more."""
     rate = F.lit(1.0)
     for step in steps:
-        move = sum((F.get("mix_p", F.lit(k)) * c for k, c in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(least), rate * (1 - shrink) + shrink - move)
+        rate = F.greatest(F.lit(least), rate - sum((F.get("mix_p", F.lit(k)) * c for k, c in enumerate(step)), F.lit(0.0)))
     return rate
 
 
-def solve(posteriors: DataFrame, names: list[str], targets: Targets, least: float = 0.0, damping: float = 1e-4) -> tuple[list[list[float]], float]:
-    """Steps of the projected gradient, and the shrinking per step. ``posteriors`` has mix_tokens and mix_p."""
+def solve(posteriors: DataFrame, names: list[str], targets: Targets, least: float = 0.0) -> list[list[float]]:
+    """Steps of the projected gradient for rows of mix_tokens and mix_p.
+
+    A step is the gradient, e - t for each domain, scaled by the inverse Gram matrix of the rows free to move: those above the
+    least rate or drawn upwards. A step that doesn't lower the distance to the targets is halved.
+    """
     k = len(names)
     p = [F.get("mix_p", F.lit(i)) for i in range(k)]
     tokens = F.col("mix_tokens")
-    first = posteriors.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * x).alias(f"e{i}") for i, x in enumerate(p)], *[F.sum(tokens * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
-    if not first["n"]:
-        return [], 0.0
-    n = float(first["n"])
-    gram = np.array([[first[f"m{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)], float) / n
-    wanted = targets({name: float(first[f"e{i}"]) for i, name in enumerate(names)})
+
+    def totals(steps: list[list[float]], gradient: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray]:
+        rows = posteriors.withColumn("mix_r", rate_of(steps, least))
+        free = F.lit(True) if gradient is None else (F.col("mix_r") > least) | (sum((x * float(g) for x, g in zip(p, gradient)), F.lit(0.0)) < 0)
+        rows = rows.withColumn("mix_free", F.when(free, tokens).otherwise(F.lit(0)))
+        row = rows.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * F.col("mix_r") * x).alias(f"e{i}") for i, x in enumerate(p)], *[F.sum(F.col("mix_free") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
+        n = float(row["n"] or 0)
+        return n, np.array([row[f"e{i}"] or 0 for i in range(k)], float) / max(n, 1), np.array([[row[f"m{max(i, j)}_{min(i, j)}"] or 0 for j in range(k)] for i in range(k)], float) / max(n, 1)
+
+    n, expected, gram = totals([], None)
+    if not n:
+        return []
+    wanted = targets({name: float(e * n) for name, e in zip(names, expected)})
     goal = np.array([wanted[name] for name in names]) / n
-    rate = 1.0 / (float(np.linalg.eigvalsh(gram)[-1]) + damping)
     steps: list[list[float]] = []
-    expected = np.array([first[f"e{i}"] for i in range(k)], float) / n
-    while len(steps) < STEPS and np.abs(expected - goal).max() > TOLERANCE * goal.max():
-        steps.append([float(x) for x in rate * (expected - goal)])
-        r = rate_of(steps, rate * damping, least)
-        row = posteriors.withColumn("mix_r", tokens * r).agg(*[F.sum(F.col("mix_r") * x).alias(f"e{i}") for i, x in enumerate(p)]).first()
-        now = np.array([row[f"e{i}"] for i in range(k)], float) / n
-        if np.abs(now - expected).max() < 1e-6:  # the least rate holds, the targets can't be met
+    error = expected - goal
+    for _ in range(STEPS):
+        if np.abs(error).max() <= TOLERANCE * goal.max():
             break
-        expected = now
-    return steps, rate * damping
+        move = np.linalg.solve(gram + 1e-6 * np.trace(gram) * np.eye(k) + 1e-12 * np.eye(k), error)
+        for _ in range(4):
+            _, expected, after = totals([*steps, move.tolist()], error)
+            if np.linalg.norm(expected - goal) < np.linalg.norm(error):
+                break
+            move = move / 2
+        else:
+            break  # the least rate holds; the targets can't be met any better along this way
+        steps.append(move.tolist())
+        error, gram = expected - goal, after
+    return steps
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: Targets, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,8 +145,8 @@ def mix(docs: DataFrame, domains: DataFrame, targets: Targets, least: float = 0.
         plain = docs.withColumn("mix_tokens", F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
         return plain.withColumns({"mix_posteriors": F.create_map().cast("map<string,double>"), "mix_rate": F.lit(1.0), "mix_copies": F.lit(1).cast("long")})
     rated = with_posteriors(docs, model, text_col)
-    steps, shrink = solve(materialize(rated.select("mix_tokens", "mix_p"), "posteriors"), list(model), targets, least)
-    rated = rated.withColumn("mix_rate", rate_of(steps, shrink, least))
+    steps = solve(materialize(rated.select("mix_tokens", "mix_p"), "posteriors"), list(model), targets, least)
+    rated = rated.withColumn("mix_rate", rate_of(steps, least))
     draw = F.pmod(F.xxhash64(F.lit("mixing"), F.col(f"`{id_col}`")), F.lit(1 << 20)) / float(1 << 20)
     return rated.select(
         *[F.col(f"`{c}`") for c in docs.columns],
