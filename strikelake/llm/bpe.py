@@ -27,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_WORDS = 500_000
-TABLE_STATES = 300_000
+CACHE_WORDS = 350_000
+TABLE_STATES = 250_000
 
 #: The split pattern of the byte-level tokenizer. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -9,7 +9,8 @@ occurrences brought together, with up to 2 * WINDOW bytes of text, and their suf
 Only equality of the first WINDOW bytes decides on removal, so classes of equal prefixes stand in for the full order that suffix
 arrays would give, and no text is sorted as a whole.
 
-Contexts with over HOT occurrences are never gathered: their windows are counted as hashes by an aggregate.
+Contexts with over HOT occurrences are never gathered: aggregates count their phrases, which settles phrases that repeat, and
+then the windows of one occurrence of each phrase as hashes.
 Copies of whole texts are found by their hash and reported once. Hashes have 64 bits.
 
 Defined cases: null is the empty text; texts shorter than WINDOW lose nothing; repeated rows and copies each lose all of a text of
@@ -29,7 +30,6 @@ from pyspark.sql import types as T
 
 from strikelake.llm.common import byte_rows
 from strikelake.llm.components import key_filter, may_hold
-from strikelake.llm.ngram_join import _groups
 from strikelake.llm.wordhash import _POWERS, _VALUES, mix
 from strikelake.session import materialize
 
@@ -159,44 +159,66 @@ def _places_batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in rows[:6]], pa.array(rows[6], pa.binary())], names=["key", "phrase", "doc", "at", "low", "high", "text"])
 
 
-def _windows(text: bytes) -> np.ndarray:
-    """Hashes of the windows of an occurrence, from its largest offset down to its least."""
-    whole = Text(np.frombuffer(text, np.uint8))
-    start = np.arange(len(text) - WINDOW + 1)
-    return whole.hashes(start, start + WINDOW)
+def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts in one pass: hash, number of the text, position in it."""
+    sizes = np.array([len(t) for t in texts])
+    counts = sizes - WINDOW + 1
+    whole = Text(np.frombuffer(b"".join(texts), np.uint8))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    position = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.repeat(np.cumsum(sizes) - sizes, counts) + position
+    return whole.hashes(start, start + WINDOW), owner, position
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], least: int = 10_000) -> Iterator[pa.Table]:
+    """Tables of ``least`` rows or more, cut where the first column changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            key = np.asarray(batch.column(0))
+            if sum(x.num_rows for x in held) >= least:
+                last = held[-1].column(0)[held[-1].num_rows - 1].as_py()
+                fresh = np.flatnonzero(key != last)
+                if len(fresh):
+                    yield pa.Table.from_batches([*held, batch.slice(0, int(fresh[0]))])
+                    held, batch = [], batch.slice(int(fresh[0]))
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _class_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within each context, the windows of its occurrences that equal another's; out: doc, first and last start."""
-    for group in _groups(batches, 1):
-        phrase, text = np.asarray(group.column("phrase")), group.column("text").to_pylist()
-        at, high, doc = (np.asarray(group.column(c)).astype(np.int64) for c in ("at", "high", "doc"))
-        values, first, inverse, counts = np.unique(phrase, return_index=True, return_inverse=True, return_counts=True)
-        hashes = [_windows(text[int(i)]) for i in first]
+    for table in _whole_keys(batches):
+        key, phrase, doc, at, high = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "phrase", "doc", "at", "high"))
+        kind = mix(key.view(np.uint64) ^ mix(phrase.view(np.uint64)))
+        _, first, inverse, counts = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+        texts = table.column("text").take(pa.array(first)).to_pylist()
+        hashes, owner, position = _windows(texts)
         # The offset of the trigger is part of a window's class: contexts are equal only around their triggers.
-        tagged = [mix(h + np.uint64(0x9E3779B97F4A7C15) * (high[int(i)] - np.arange(len(h))).astype(np.uint64)) for h, i in zip(hashes, first)]
-        known, times = np.unique(np.concatenate(tagged), return_counts=True)
-        twice = known[times > 1]
-        docs, starts, ends = [], [], []
-        for k, tags in enumerate(tagged):
-            hit = np.ones(len(tags), bool) if counts[k] > 1 else np.isin(tags, twice)
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-            for i in np.flatnonzero(inverse == k):
-                base = at[i] - high[i]
-                docs += [doc[i]] * (len(edges) // 2)
-                starts += (base + edges[::2]).tolist()
-                ends += (base + edges[1::2] - 1).tolist()
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc", "first", "last"])
+        offset = (high[first][owner] - position).astype(np.uint64)
+        tag = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * offset + mix(key[first].view(np.uint64))[owner])
+        _, same, times = np.unique(tag, return_inverse=True, return_counts=True)
+        hit = (times[same] > 1) | (counts[owner] > 1)
+        change = np.concatenate(([True], (owner[1:] != owner[:-1]) | (hit[1:] != hit[:-1])))
+        begin = np.flatnonzero(change)
+        end = np.concatenate((begin[1:], [len(hit)])) - 1
+        begin, end = begin[hit[begin]], end[hit[begin]]
+        runs = np.bincount(owner[begin], minlength=len(first))
+        of_first = np.cumsum(runs) - runs
+        rows = np.repeat(np.arange(len(key)), runs[inverse])
+        run = np.arange(len(rows)) - np.repeat(np.cumsum(runs[inverse]) - runs[inverse], runs[inverse]) + of_first[inverse[rows]]
+        base = (at - high)[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(base + position[begin[run]]), pa.array(base + position[end[run]])], names=["doc", "first", "last"])
 
 
 def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, high, doc = (np.asarray(batch.column(c)).astype(np.int64) for c in ("at", "high", "doc"))
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            h = _windows(text)
-            n = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, doc[i])), pa.array(at[i] - high[i] + np.arange(n))], names=["h", "doc", "first"])
+        if batch.num_rows:
+            start, doc = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "doc"))
+            hashes, owner, position = _windows(batch.column("text").to_pylist())
+            alone = batch.column("alone").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc[owner]), pa.array(start[owner] + position), pa.array(alone[owner])], names=["h", "doc", "first", "alone"])
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -209,11 +231,14 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     settled = places.filter("not open").select("doc", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
     few = places.filter(f"open and n <= {HOT}").select("key", "phrase", "doc", "at", "high", "text")
     classed = few.repartition("key").sortWithinPartitions("key").mapInArrow(_class_windows, "doc long, first long, last long")
-    hot = places.filter(f"open and n > {HOT}").select("doc", "at", "high", "text")
-    windows = hot.mapInArrow(_hot_windows, "h long, doc long, first long")
+    hot = places.filter(f"open and n > {HOT}")
+    kinds = hot.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", (F.col("at") - F.col("high")).alias("start"), "text")).alias("one"))
+    kinds = materialize(kinds.select("key", "phrase", "times", "one.doc", "one.start", "one.text"), "phrases")
+    equal = hot.join(kinds.filter("times > 1").select("key", "phrase").hint("merge"), ["key", "phrase"]).select("doc", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
+    windows = materialize(kinds.select("doc", "start", "text", (F.col("times") == 1).alias("alone")).mapInArrow(_hot_windows, "h long, doc long, first long, alone boolean"), "windows")
     several = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    common = windows.join(several, "h").select("doc", "first", F.col("first").alias("last"))
-    return settled.unionByName(classed).unionByName(common)
+    common = windows.filter("alone").join(several.hint("merge"), "h").select("doc", "first", F.col("first").alias("last"))
+    return settled.unionByName(classed).unionByName(equal).unionByName(common)
 
 
 def _cut(schema_names: list[str], text_at: int, spans_at: int, whole_at: int):
