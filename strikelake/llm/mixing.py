@@ -91,10 +91,11 @@ def with_posteriors(docs: DataFrame, model: dict, text_col: str, temperature: fl
 
 def rate_of(steps: list[list[float]], least: float) -> Column:
     """The rate after the steps: each moves it along the posteriors and projects it onto rates of ``least`` or more."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(least), rate - sum((F.get("mix_p", F.lit(k)) * c for k, c in enumerate(step)), F.lit(0.0)))
-    return rate
+    if not steps:
+        return F.greatest(F.lit(least), F.lit(1.0))
+    # One fold over the steps names the posteriors once, so the plan stays small.
+    dot = lambda c: F.aggregate(F.zip_with("mix_p", c, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps]), F.lit(1.0), lambda r, c: F.greatest(F.lit(float(least)), r - dot(c)))
 
 
 def solve(posteriors: DataFrame, names: list[str], targets: Targets, least: float = 0.0) -> list[list[float]]:
@@ -160,5 +161,6 @@ def mix(docs: DataFrame, domains: DataFrame, targets: Targets, least: float = 0.
 def resample(docs: DataFrame, domains: DataFrame, targets: Targets, least: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document as often as its rate says, with the columns it came with."""
     rated = mix(docs, domains, targets, least, id_col, text_col)
-    copies = rated.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    # An outer generator: a filter on the number of copies would be pushed down and repeat the whole classifier.
+    copies = rated.withColumn("mix_copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))).filter("mix_copy is not null")
     return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
