@@ -16,6 +16,7 @@ cache and byte table of CACHE_WORDS and TABLE_STATES entries per worker.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_WORDS = 350_000
-TABLE_STATES = 250_000
+CACHE_WORDS = 250_000
+TABLE_STATES = 150_000
 
 #: The split pattern of the byte-level tokenizer. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,38 +210,54 @@ class Encoder:
         return np.array(out, dtype=np.int32)
 
 
-#: One encoder per worker process and compiled tokenizer, so that its word cache outlives a task.
-_ENCODERS: dict[int, Encoder] = {}
+#: The encoder a worker process used last, by tokenizer, so that its word cache outlives a task. Never more than one.
+_ENCODER: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ``ids``: array<int> of each text."""
-    machine = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+def _encoder(key: str, shared) -> Encoder:
+    if key not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[key] = Encoder(shared.value)
+    return _ENCODER[key]
+
+
+def _key(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).hexdigest()
+
+
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds ``ids``: array<int> of each text; with ``decoded`` also the text that decoding these ids gives, in the same pass."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer)), _key(tokenizer)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])]
+    schema = T.StructType([*docs.schema.fields, *added])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(id(machine.value), Encoder(machine.value))
+        encoder = _encoder(key, shared)
         for batch in batches:
             for part in _small(batch, at):
                 lists = [encoder.ids(t.as_py() or "") for t in part.column(at)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)])))]
+                if decoded:
+                    columns.append(pa.array([encoder.words.machine.decode(x.tolist()) for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *[f.name for f in added]])
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the text whose bytes are the arc labels of ``ids``."""
-    machine = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+    shared, key = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer)), _key(tokenizer)
     schema = T.StructType([*encoded.schema.fields, T.StructField(decoded, T.StringType(), False)])
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _encoder(key, shared).words.machine
         for batch in batches:
             column = batch.column(at)
-            texts = [machine.value.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in column]
+            texts = [machine.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, decoded])
 
     return encoded.mapInArrow(run, schema)

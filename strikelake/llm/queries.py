@@ -47,15 +47,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op2_bpe_round_trip")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    digests = encoded.select("doc_id", "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    decoded = bpe.decode(digests, path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
-
-
-def _fold(modulus: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 QUALITY_THRESHOLD = 0.7
