@@ -40,9 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether decoding the ids gives the text back."""
-    path = tokenizer_path()
-    encoded = bpe.encode(docs.select("doc_id", "text"), path)
-    back = bpe.decode(encoded, path)
+    back = bpe.encode(docs.select("doc_id", "text"), tokenizer_path(), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
