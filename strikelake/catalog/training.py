@@ -396,10 +396,10 @@ def simplest_trial_within_margin(spark, d):
 @register(
     "trial_leaderboard",
     *TRIALS,
-    sql=f"SELECT trial_id, {r6('med')} AS score, {r6('mean_delta')} AS mean_delta FROM fs ORDER BY med NULLS LAST, mean_delta NULLS LAST, trial_id LIMIT 10",
+    sql=f"SELECT trial_id, {r6('med')} AS score, {r6('mean_delta')} AS mean_delta FROM fs ORDER BY med NULLS LAST, mean_delta NULLS LAST, trial_id",
 )
 def trial_leaderboard(spark, d):
-    out = S.leaderboard(trials(spark, d)).limit(10)
+    out = S.leaderboard(trials(spark, d))
     return out.select("trial_id", r(F.col("score"), 6).alias("score"), r(F.col("mean_delta"), 6).alias("mean_delta"))
 
 

@@ -37,16 +37,8 @@ class Preprocessor:
         return out
 
 
-SMALL_ROWS = 2_000_000
-
-
 def _medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact either way: the built-in keeps all distinct values in memory, so it is used for few rows only."""
-    values = [to_number(F.col(c)) for c in columns]
-    if df.count() <= SMALL_ROWS:
-        row = df.agg(*[F.percentile(v, F.lit(0.5)).alias(f"m{i}") for i, v in enumerate(values)]).first()
-        return {c: row[f"m{i}"] for i, c in enumerate(columns)}
-    clean = df.select(*[v.alias(c) for v, c in zip(values, columns)])
+    clean = df.select(*[to_number(F.col(c)).alias(c) for c in columns])
     return {r["column"]: r["median"] for r in column_medians(clean, columns).collect()}
 
 
