@@ -10,7 +10,8 @@ Only equality of the first WINDOW bytes decides on removal, so classes of equal
 arrays would give, and no text is sorted as a whole.
 
 Contexts with over HOT occurrences are never gathered: aggregates count their phrases, which settles phrases that repeat, and
-then the windows of one occurrence of each phrase as hashes.
+then the windows of one occurrence of each phrase as hashes. The most frequent window at each offset of the trigger is sent to
+all phrases of its context, which then give runs; only windows other than that meet by their hash.
 Copies of whole texts are found by their hash and reported once. Hashes have 64 bits.
 
 Defined cases: null is the empty text; texts shorter than WINDOW lose nothing; repeated rows and copies each lose all of a text of
@@ -39,6 +40,7 @@ HALF = (WINDOW - W) // 2
 CONTEXT = HALF + W
 PIECE = 1 << 20
 HOT = 1024
+SALTS = 32
 _POSITION = np.uint64((1 << 24) - 1)
 _SIDE = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
@@ -212,13 +214,54 @@ def _class_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(base + position[begin[run]]), pa.array(base + position[end[run]])], names=["doc", "first", "last"])
 
 
+def _counted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of phrases with the offset of their trigger, equal ones of a batch counted."""
+    for batch in batches:
+        if batch.num_rows:
+            key, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "high"))
+            hashes, owner, position = _windows(batch.column("text").to_pylist())
+            h, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            owner, position = owner[first], position[first]
+            yield pa.RecordBatch.from_arrays([pa.array(key[owner]), pa.array((high[owner] - position).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "offset", "h", "n"])
+
+
 def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that equal the most frequent one at their offset (h is null), and all other windows with their hash."""
     for batch in batches:
         if batch.num_rows:
-            start, doc = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "doc"))
+            start, doc, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "doc", "high"))
+            alone = batch.column("alone").to_numpy(zero_copy_only=False).astype(bool)
+            modes = batch.column("modes")
+            sizes = modes.value_lengths().fill_null(0).to_numpy()
+            of, entries = np.repeat(np.arange(len(sizes)), sizes), modes.flatten()
+            mode, has = np.zeros((len(sizes), WINDOW), np.int64), np.zeros((len(sizes), WINDOW), bool)
+            at = entries.field("offset").to_numpy()
+            mode[of, at], has[of, at] = entries.field("h").to_numpy(), True
             hashes, owner, position = _windows(batch.column("text").to_pylist())
-            alone = batch.column("alone").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc[owner]), pa.array(start[owner] + position), pa.array(alone[owner])], names=["h", "doc", "first", "alone"])
+            hashes, offset = hashes.view(np.int64), high[owner] - position
+            equal = has[owner, offset] & (mode[owner, offset] == hashes)
+            change = np.concatenate(([True], (owner[1:] != owner[:-1]) | (equal[1:] != equal[:-1])))
+            begin = np.flatnonzero(change)
+            end = np.concatenate((begin[1:], [len(equal)])) - 1
+            pick = equal[begin] & alone[owner[begin]]
+            begin, end, rest = begin[pick], end[pick], np.flatnonzero(~equal)
+            from_, to = np.concatenate((begin, rest)), np.concatenate((end, rest))
+            h = pa.array(hashes[from_], mask=np.arange(len(from_)) < len(begin))
+            base = start[owner[from_]]
+            yield pa.RecordBatch.from_arrays([h, pa.array(doc[owner[from_]]), pa.array(base + position[from_]), pa.array(base + position[to]), pa.array(alone[owner[from_]])], names=["h", "doc", "first", "last", "alone"])
+
+
+def _most_frequent(kinds: DataFrame) -> DataFrame:
+    """Phrases of hot contexts, each with ``modes``: the most frequent window of its context at each offset, where one repeats.
+
+    At most WINDOW entries a context. They meet the phrases on the context and a salt, as one context may own most phrases.
+    """
+    counted = kinds.select("key", "high", "text").mapInArrow(_counted_windows, "key long, offset int, h long, n long")
+    best = counted.groupBy("key", "offset", "h").agg(F.sum("n").alias("n")).filter("n > 1").groupBy("key", "offset").agg(F.max(F.struct("n", "h")).alias("best"))
+    modes = best.groupBy("key").agg(F.collect_list(F.struct("offset", F.col("best.h").alias("h"))).alias("modes"))
+    modes = modes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = kinds.select("key", F.pmod("phrase", F.lit(SALTS)).cast("int").alias("salt"), "doc", "start", "high", "text", (F.col("times") == 1).alias("alone"))
+    return dealt.join(modes.hint("merge"), ["key", "salt"], "left").select("doc", "start", "high", "text", "alone", "modes")
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -232,12 +275,15 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     few = places.filter(f"open and n <= {HOT}").select("key", "phrase", "doc", "at", "high", "text")
     classed = few.repartition("key").sortWithinPartitions("key").mapInArrow(_class_windows, "doc long, first long, last long")
     hot = places.filter(f"open and n > {HOT}")
-    kinds = hot.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", (F.col("at") - F.col("high")).alias("start"), "text")).alias("one"))
-    kinds = materialize(kinds.select("key", "phrase", "times", "one.doc", "one.start", "one.text"), "phrases")
+    one = F.min(F.struct("doc", (F.col("at") - F.col("high")).alias("start"), "high", "text")).alias("one")
+    kinds = hot.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("times"), one)
+    kinds = materialize(kinds.select("key", "phrase", "times", "one.*"), "phrases")
     equal = hot.join(kinds.filter("times > 1").select("key", "phrase").hint("merge"), ["key", "phrase"]).select("doc", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
-    windows = materialize(kinds.select("doc", "start", "text", (F.col("times") == 1).alias("alone")).mapInArrow(_hot_windows, "h long, doc long, first long, alone boolean"), "windows")
-    several = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    common = windows.filter("alone").join(several.hint("merge"), "h").select("doc", "first", F.col("first").alias("last"))
+    windows = _most_frequent(kinds).mapInArrow(_hot_windows, "h long, doc long, first long, last long, alone boolean")
+    windows = materialize(windows, "windows")
+    several = windows.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    frequent = windows.filter("h is null").select("doc", "first", "last")
+    common = windows.filter("alone").join(several.hint("merge"), "h").select("doc", "first", "last").unionByName(frequent)
     return settled.unionByName(classed).unionByName(equal).unionByName(common)
 
 
