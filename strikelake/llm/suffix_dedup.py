@@ -225,43 +225,52 @@ def _counted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(key[owner]), pa.array((high[owner] - position).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "offset", "h", "n"])
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows that equal the most frequent one at their offset (h is null), and all other windows with their hash."""
-    for batch in batches:
-        if batch.num_rows:
-            start, doc, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "doc", "high"))
-            alone = batch.column("alone").to_numpy(zero_copy_only=False).astype(bool)
-            modes = batch.column("modes")
-            sizes = modes.value_lengths().fill_null(0).to_numpy()
-            of, entries = np.repeat(np.arange(len(sizes)), sizes), modes.flatten()
-            mode, has = np.zeros((len(sizes), WINDOW), np.int64), np.zeros((len(sizes), WINDOW), bool)
-            at = entries.field("offset").to_numpy()
-            mode[of, at], has[of, at] = entries.field("h").to_numpy(), True
-            hashes, owner, position = _windows(batch.column("text").to_pylist())
-            hashes, offset = hashes.view(np.int64), high[owner] - position
-            equal = has[owner, offset] & (mode[owner, offset] == hashes)
-            change = np.concatenate(([True], (owner[1:] != owner[:-1]) | (equal[1:] != equal[:-1])))
-            begin = np.flatnonzero(change)
-            end = np.concatenate((begin[1:], [len(equal)])) - 1
-            pick = equal[begin] & alone[owner[begin]]
-            begin, end, rest = begin[pick], end[pick], np.flatnonzero(~equal)
-            from_, to = np.concatenate((begin, rest)), np.concatenate((end, rest))
-            h = pa.array(hashes[from_], mask=np.arange(len(from_)) < len(begin))
-            base = start[owner[from_]]
-            yield pa.RecordBatch.from_arrays([h, pa.array(doc[owner[from_]]), pa.array(base + position[from_]), pa.array(base + position[to]), pa.array(alone[owner[from_]])], names=["h", "doc", "first", "last", "alone"])
-
-
-def _most_frequent(kinds: DataFrame) -> DataFrame:
-    """Phrases of hot contexts, each with ``modes``: the most frequent window of its context at each offset, where one repeats.
-
-    At most WINDOW entries a context. They meet the phrases on the context and a salt, as one context may own most phrases.
+def _hot_windows(repeated: np.ndarray):
+    """Runs of windows that equal the most frequent one at their offset (h is null), and with their hash others that may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                start, doc, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "doc", "high"))
+                modes = batch.column("modes")
+                sizes = modes.value_lengths().fill_null(0).to_numpy()
+                of, entries = np.repeat(np.arange(len(sizes)), sizes), modes.flatten()
+                mode, has = np.zeros((len(sizes), WINDOW), np.int64), np.zeros((len(sizes), WINDOW), bool)
+                at = entries.field("offset").to_numpy()
+                mode[of, at], has[of, at] = entries.field("h").to_numpy(), True
+                hashes, owner, position = _windows(batch.column("text").to_pylist())
+                hashes, offset = hashes.view(np.int64), high[owner] - position
+                equal = has[owner, offset] & (mode[owner, offset] == hashes)
+                change = np.concatenate(([True], (owner[1:] != owner[:-1]) | (equal[1:] != equal[:-1])))
+                begin = np.flatnonzero(change)
+                end = np.concatenate((begin[1:], [len(equal)])) - 1
+                begin, end = begin[equal[begin]], end[equal[begin]]
+                rest = np.flatnonzero(~equal & may_hold(repeated, hashes))
+                from_, to = np.concatenate((begin, rest)), np.concatenate((end, rest))
+                h = pa.array(hashes[from_], mask=np.arange(len(from_)) < len(begin))
+                base = start[owner[from_]]
+                yield pa.RecordBatch.from_arrays([h, pa.array(doc[owner[from_]]), pa.array(base + position[from_]), pa.array(base + position[to])], names=["h", "doc", "first", "last"])
+
+    return run
+
+
+def _hot_runs(kinds: DataFrame) -> DataFrame:
+    """(doc, first, last) of the windows that repeat among the phrases of hot contexts, for phrases that occur once.
+
+    The most frequent window at each offset, at most WINDOW entries a context, meets the phrases on the context and a salt,
+    as one context may own most phrases; the other repeated windows meet theirs by hash.
     """
     counted = kinds.select("key", "high", "text").mapInArrow(_counted_windows, "key long, offset int, h long, n long")
-    best = counted.groupBy("key", "offset", "h").agg(F.sum("n").alias("n")).filter("n > 1").groupBy("key", "offset").agg(F.max(F.struct("n", "h")).alias("best"))
+    repeated = materialize(counted.groupBy("key", "offset", "h").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated-windows")
+    best = repeated.groupBy("key", "offset").agg(F.max(F.struct("n", "h")).alias("best"))
     modes = best.groupBy("key").agg(F.collect_list(F.struct("offset", F.col("best.h").alias("h"))).alias("modes"))
     modes = modes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = kinds.select("key", F.pmod("phrase", F.lit(SALTS)).cast("int").alias("salt"), "doc", "start", "high", "text", (F.col("times") == 1).alias("alone"))
-    return dealt.join(modes.hint("merge"), ["key", "salt"], "left").select("doc", "start", "high", "text", "alone", "modes")
+    dealt = kinds.filter("times = 1").select("key", F.pmod("phrase", F.lit(SALTS)).cast("int").alias("salt"), "doc", "start", "high", "text")
+    dealt = dealt.join(modes.hint("merge"), ["key", "salt"], "left").select("doc", "start", "high", "text", "modes")
+    others = repeated.join(best.select(F.col("best.h").alias("h")), "h", "left_anti").select("h")
+    windows = materialize(dealt.mapInArrow(_hot_windows(key_filter(others, "h")), "h long, doc long, first long, last long"), "windows")
+    rest = windows.filter("h is not null").join(others.hint("merge"), "h")
+    return windows.filter("h is null").drop("h").unionByName(rest.drop("h"))
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -279,12 +288,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     kinds = hot.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("times"), one)
     kinds = materialize(kinds.select("key", "phrase", "times", "one.*"), "phrases")
     equal = hot.join(kinds.filter("times > 1").select("key", "phrase").hint("merge"), ["key", "phrase"]).select("doc", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
-    windows = _most_frequent(kinds).mapInArrow(_hot_windows, "h long, doc long, first long, last long, alone boolean")
-    windows = materialize(windows, "windows")
-    several = windows.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    frequent = windows.filter("h is null").select("doc", "first", "last")
-    common = windows.filter("alone").join(several.hint("merge"), "h").select("doc", "first", "last").unionByName(frequent)
-    return settled.unionByName(classed).unionByName(equal).unionByName(common)
+    return settled.unionByName(classed).unionByName(equal).unionByName(_hot_runs(kinds))
 
 
 def _cut(schema_names: list[str], text_at: int, spans_at: int, whole_at: int):

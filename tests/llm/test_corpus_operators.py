@@ -182,6 +182,22 @@ def test_suffix_dedup(docs, none, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_hot_passages(spark, monkeypatch):
+    """One passage in every text, with two kinds of neighbours and edits, so that hot contexts go on in several ways."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    rng = random.Random(5)
+    filler = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, sides = filler(700), [filler(120), filler(120)]
+    texts = []
+    for i in range(60):
+        body = list(passage)
+        if i % 3 == 0:
+            body[rng.randrange(700)] = "#"
+        texts.append(filler(rng.randrange(300)) + (sides[i % 2] if i % 4 < 2 else "") + "".join(body) + filler(rng.randrange(300)))
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert collections.Counter(bytes(r.kept_bytes) for r in found) == collections.Counter(brute_repeats([t.encode() for t in texts]))
+
+
 def test_warc(spark, tmp_path):
     big = "x" * 1500
     pages = [(1, "http://a/é b", big), (2, "http://b", big), (3, None, None), (4, "http://d", "short"), (5, "http://e", "short"), (None, "http://f", big), (6, "http://g", "\x1f8b" * 4000)]
