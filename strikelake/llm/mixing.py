@@ -139,18 +139,23 @@ def solve(posteriors: DataFrame, names: list[str], targets: Targets, least: floa
     return steps
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: Targets, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds ``mix_tokens``, ``mix_posteriors`` (map), ``mix_rate`` and ``mix_copies`` (the rate, rounded by a hash of the id)."""
+def mix(docs: DataFrame, domains: DataFrame, targets: Targets, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Adds ``mix_tokens``, ``mix_posteriors`` (map), ``mix_rate`` and ``mix_copies`` (the rate, rounded by a hash of the id).
+
+    ``carry`` names the columns to return, the id among them; all by default.
+    """
+    kept = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
     model = fit(docs, domains, id_col, text_col)
     if not model:
         plain = docs.withColumn("mix_tokens", F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-        return plain.withColumns({"mix_posteriors": F.create_map().cast("map<string,double>"), "mix_rate": F.lit(1.0), "mix_copies": F.lit(1).cast("long")})
-    rated = with_posteriors(docs, model, text_col)
-    steps = solve(materialize(rated.select("mix_tokens", "mix_p"), "posteriors"), list(model), targets, least)
+        return plain.select(*kept, "mix_tokens").withColumns({"mix_posteriors": F.create_map().cast("map<string,double>"), "mix_rate": F.lit(1.0), "mix_copies": F.lit(1).cast("long")})
+    # Texts are classified once; the solver reads two columns of what is written, the result the rest.
+    rated = materialize(with_posteriors(docs, model, text_col).select(*kept, "mix_tokens", "mix_p"), "posteriors")
+    steps = solve(rated.select("mix_tokens", "mix_p"), list(model), targets, least)
     rated = rated.withColumn("mix_rate", rate_of(steps, least))
     draw = F.pmod(F.xxhash64(F.lit("mixing"), F.col(f"`{id_col}`")), F.lit(1 << 20)) / float(1 << 20)
     return rated.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *kept,
         "mix_tokens",
         F.map_from_arrays(F.array(*[F.lit(name) for name in model]), F.col("mix_p")).alias("mix_posteriors"),
         "mix_rate",

@@ -98,8 +98,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op7_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated = mixing.mix(docs.select("doc_id", "text"), mixing.labelled_domains(docs, labels), mixing.even_targets)
-    return rated.drop("text")
+    return mixing.mix(docs.select("doc_id", "text"), mixing.labelled_domains(docs, labels), mixing.even_targets, carry=["doc_id"])
 
 
 @_register(
