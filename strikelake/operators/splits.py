@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from datetime import date, timedelta
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -128,57 +129,43 @@ def time_split(
 def walk_forward(
     weeks: list[date], folds: int, val_weeks: int, train_weeks: int, expanding: bool = True, gap_weeks: int = 0
 ) -> list[Fold]:
-    """Folds built back from the latest week, returned oldest first.
+    """Folds of neighbouring validation spans that end at the latest week, oldest first.
 
-    A validation span gives up early weeks when its training span would be shorter than the minimum.
+    Span borders are `val_weeks` apart; a border that leaves less than the least history before it moves up to
+    where it just does, and a span left without any week is an error.
     """
     if len(weeks) < 3:
         raise ValueError("walk-forward needs at least three weeks")
-    out: list[Fold] = []
-    right = len(weeks)
-    for _ in range(folds):
-        first = max(0, right - val_weeks)
-        while True:
-            end = first - gap_weeks
-            begin = 0 if expanding else max(0, end - train_weeks)
-            if end - begin >= MIN_TRAIN_WEEKS or right - first <= 1:
-                break
-            first += 1
-        if right <= 0 or end - begin < MIN_TRAIN_WEEKS:
-            raise ValueError("not enough history for the requested folds")
-        out.append(Fold(0, weeks[begin], weeks[end - 1], weeks[first], weeks[right - 1]))
-        right = first
-    out.reverse()
-    return [Fold(i + 1, f.train_lo, f.train_hi, f.val_lo, f.val_hi) for i, f in enumerate(out)]
+    history = gap_weeks + MIN_TRAIN_WEEKS
+    borders = [max(len(weeks) - k * val_weeks, history) for k in range(folds, -1, -1)]
+    spans = list(pairwise(borders))
+    if any(lo >= hi for lo, hi in spans) or (spans and not expanding and train_weeks < MIN_TRAIN_WEEKS):
+        raise ValueError("not enough history for the requested folds")
+    depth = len(weeks) if expanding else train_weeks
+    return [
+        Fold(i, weeks[max(0, lo - gap_weeks - depth)], weeks[lo - gap_weeks - 1], weeks[lo], weeks[hi - 1])
+        for i, (lo, hi) in enumerate(spans, start=1)
+    ]
 
 
 def outer_folds(weeks: list[date], base_test_weeks: int, folds: int, test_weeks: int, gap_weeks: int) -> list[Fold]:
     """Folds stepping back from the pre-test pool; training is everything before the gap."""
     pool = weeks[:-base_test_weeks] if 0 < base_test_weeks < len(weeks) else weeks
-    out: list[Fold] = []
-    if len(pool) < test_weeks + 1:
-        return out
-    for i in range(folds):
-        end = len(pool) - i * (test_weeks + gap_weeks)
-        first = end - test_weeks
-        train_end = first - gap_weeks
-        if first < 0 or train_end <= 0:
-            break
-        out.append(Fold(i + 1, pool[0], pool[train_end - 1], pool[first], pool[end - 1]))
-    return out
+    period = test_weeks + gap_weeks
+    # As many periods as fit behind one training week.
+    fitting = max(0, (len(pool) - 1) // period)
+    spans = [(len(pool) - k * period - test_weeks, k) for k in range(min(folds, fitting))]
+    return [Fold(k + 1, pool[0], pool[at - gap_weeks - 1], pool[at], pool[at + test_weeks - 1]) for at, k in spans]
 
 
 def calendar_walk(start: date, end: date, train_days: int, test_days: int, step_days: int, max_splits: int = 0) -> list[Fold]:
     """Fixed-length calendar windows; `*_hi` is the last day inside."""
-    out: list[Fold] = []
-    cursor, one = start, timedelta(days=1)
-    while cursor + timedelta(days=train_days + test_days) <= end:
-        mid = cursor + timedelta(days=train_days)
-        out.append(Fold(len(out) + 1, cursor, mid - one, mid, mid + timedelta(days=test_days) - one))
-        if max_splits and len(out) >= max_splits:
-            break
-        cursor += timedelta(days=step_days)
-    return out
+    fitting = max(0, ((end - start).days - train_days - test_days) // step_days + 1)
+    day = lambda k, offset: start + timedelta(days=k * step_days + offset)
+    return [
+        Fold(k + 1, day(k, 0), day(k, train_days - 1), day(k, train_days), day(k, train_days + test_days - 1))
+        for k in range(min(fitting, max_splits or fitting))
+    ]
 
 
 def assign_folds(

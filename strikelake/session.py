@@ -36,11 +36,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only when the session names none (local tests) is a folder of our own made and set.
+    Only when the session names none is one set: a folder in the shared warehouse, or on a local master (tests), where
+    driver and executors are one process, a temporary one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="strikelake-")
+        local = spark.conf.get("spark.master", "").startswith("local")
+        root = tempfile.mkdtemp(prefix="strikelake-") if local else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "strikelake-stages")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strikelake.functions import calendar as cal, features, scalar
+from strikelake.functions import calendar as cal, features, scalar, text
 from strikelake.operators import asof, bars, chain, lookups, metrics, quality, relational, skew, splits, weights
 from strikelake.operators.percentiles import exact_percentiles
 
@@ -305,6 +305,21 @@ def test_bootstrap_group_fallback(spark):
         metrics.bootstrap_group(df, "day")
 
 
+def test_bootstrap_group_skips_columns_without_values(spark):
+    df = frame(spark, [("t", None, dt.date(2024, 1, 5), None)], "ticker string, snapshot_date date, asof_date date, contract_id string")
+    unit, name = metrics.bootstrap_group(df)
+    assert (name, df.select(unit).first()[0]) == ("ticker_day", "T|2024-01-05")
+    with pytest.raises(ValueError):
+        metrics.bootstrap_group(df, "contract_id")
+    assert metrics.bootstrap_group(df, "contract_id", allow_iid=True)[1] == "iid"
+
+
+def test_title_dates_are_what_the_parser_accepts(spark):
+    rows = [("Closes on Sept 5, 2025?",), ("Level 7 2024 or JULY 4th, 2025",), ("week of Jan 5-9, 2026",), ("above Feb 31 2025",)]
+    found = frame(spark, rows, "q string").select(text.question_date(F.col("q"))).collect()
+    assert [r[0] for r in found] == [dt.date(2025, 9, 5), dt.date(2025, 7, 4), dt.date(2026, 1, 5), None]
+
+
 def test_features_are_added_only_on_request(spark):
     df = frame(spark, [(0.5, 100.0, 90.0)], "pRN double, K double, S_asof_close double")
     out = features.with_features(df, ["x_logit_prn"])
