@@ -248,7 +248,8 @@ def snapshot_bracket_probability(spark, d):
         *CHAIN, (F.col("strike") + 0.5).alias("K"), F.when(F.col("ticker") % 2 == 0, 0.35).alias("atm_sigma"),
         F.lit(100.0).alias("spot"), F.lit(T_YEARS).alias("t_years"), F.lit(RATE).alias("rate"),
     )
-    out = C.bracket_probability(targets, c, CHAIN)
+    # The SQL asks only for targets whose chain has a curve; snapshot_probability_table returns the others too.
+    out = C.bracket_probability(targets, c, CHAIN).where(F.col("rn_method") != "no_chain")
     return out.select(*CHAIN, "K", r(F.col("p_rn"), 9).alias("p_rn"), "delta_k", "rn_method")
 
 

@@ -17,11 +17,13 @@ def snapshot_probabilities(
 ) -> DataFrame:
     """targets(chain..., K, spot, t_years, rate, atm_sigma) to pRN_raw, pRN, method and bracket width.
 
-    Unlike the training build, prices below 0.8 of intrinsic are dropped and the rest lifted to it.
+    Unlike the training build, prices below 0.8 of intrinsic are dropped and the rest lifted to it. Every target with a K
+    comes back: where no chain is left to read, with NULL probabilities and the reason as its method.
     """
-    curve = C.call_curve(C.strike_table(quotes, chain, tiebreak, rules), chain, rules)
-    curve = C.clip_to_no_arbitrage(curve, chain, window=rules.smooth_window)
-    raw = C.bracket_probability(targets, curve, chain).withColumn("pRN_raw", F.bround("p_rn", 7)).drop("p_rn")
+    strikes = C.strike_table(quotes, chain, tiebreak, rules)
+    clipped = C.clip_to_no_arbitrage(C.call_curve(strikes, chain, rules), chain, window=rules.smooth_window)
+    raw = C.bracket_probability(targets, C.thick_chains(clipped, chain, rules.min_curve_strikes), chain)
+    raw = C.label_missing_chains(raw, strikes, clipped, chain, rules).withColumn("pRN_raw", F.bround("p_rn", 7)).drop("p_rn")
     if not monotone:
         return raw.withColumns({"pRN": F.col("pRN_raw"), "rn_monotone_adjusted": F.lit(False)})
     return C.monotone_snapshot(raw, chain)
