@@ -99,7 +99,8 @@ def fit_offset(df: DataFrame, features: Sequence[Column], y: str, offset: Column
     """Newton steps for sum(w * loss(eta + offset)) + |b|^2 / (2C), intercept free.
 
     Each step is one distributed pass: tasks add up their share of gradient and Hessian with numpy,
-    Spark sums the shares entry by entry, and only p^2 sums reach the driver.
+    Spark sums the shares entry by entry, and only p^2 sums reach the driver. Rows with a NULL or NaN feature, label, offset or
+    weight are an error, as is a last step of `tol` or more: a fit over part of the rows or an unfinished one is no result.
     """
     names = [f"_f{i}" for i in range(len(features))]
     p = len(names) + 1
@@ -107,7 +108,10 @@ def fit_offset(df: DataFrame, features: Sequence[Column], y: str, offset: Column
     rows = df.select(
         F.col(y).cast("double").alias("_y"), weight.cast("double").alias("_w"), offset.cast("double").alias("_o"),
         *[f.cast("double").alias(n) for f, n in zip(features, names)],
-    ).dropna()
+    )
+    holes = rows.agg(*[F.count_if(F.col(f"{n}").isNull() | F.isnan(n)).alias(n) for n in rows.columns]).first().asDict()
+    if any(holes.values()):
+        raise ValueError(f"NULL values to impute or drop before the offset fit: { {n: k for n, k in holes.items() if k} }")
     schema = StructType([StructField("k", LongType()), StructField("v", DoubleType())])
     beta = np.zeros(p)
     penalty = np.append(np.full(p - 1, 1.0 / c if c > 0 else 0.0), 0.0)
@@ -130,8 +134,8 @@ def fit_offset(df: DataFrame, features: Sequence[Column], y: str, offset: Column
         step = np.linalg.solve(hess, flat[p * p :] + penalty * beta)
         beta = beta - step
         if np.max(np.abs(step)) < tol:
-            break
-    return float(beta[-1]), beta[:-1]
+            return float(beta[-1]), beta[:-1]
+    raise ValueError(f"the offset fit has not converged after {steps} steps: the last one was {np.max(np.abs(step)):.3g}")
 
 
 # --- selection of C -------------------------------------------------------------------------------

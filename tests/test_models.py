@@ -48,6 +48,17 @@ def test_offset_fit_equals_newton(data):
     assert g0 == pytest.approx(b0, abs=1e-8) and np.allclose(g, b, atol=1e-8)
 
 
+def test_offset_fit_refuses_holes_and_unfinished_fits(data):
+    _, _, _, df = data
+    for hole in (None, float("nan")):
+        with pytest.raises(ValueError, match="NULL"):
+            L.fit_offset(df.withColumn("a", F.when(F.col("a") < 2, F.col("a")).otherwise(F.lit(hole))), [F.col("a")], "y", F.lit(0.0))
+    with pytest.raises(ValueError, match="converged"):
+        L.fit_offset(df, [F.col("a"), F.col("b")], "y", F.lit(0.0), "w", steps=2)
+    with pytest.raises(ValueError, match="converged"):
+        L.fit_offset(df.withColumn("y", (F.col("a") > 0).cast("double")), [F.col("a")], "y", F.lit(0.0), c=0.0)
+
+
 @pytest.mark.parametrize("alpha", [0.5, 20.0])
 def test_ridge_equals_closed_form(data, alpha):
     x, y, _, df = data
