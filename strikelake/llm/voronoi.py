@@ -2,11 +2,11 @@
 
 Inner products become distances: a vector x gets one more coordinate sqrt(M^2 - |x|^2), with M the largest norm, a query
 gets 0, so the nearest neighbours of a query are those of the largest product. Pivots, a bounded sample, cut both sides into
-cells. A first job sums up each data cell (least, largest and the k smallest distances to its pivot) and each query cell
+cells. A first job sums up each data cell (largest distance to its pivot, and the k + 1 ids nearest to it) and each query cell
 (its radius); from these bounded summaries follows, per query cell, an upper bound of the k-th nearest distance of
 every query in it. A data row is replicated to the query cells whose bound its own lower bound does not exceed, and each cell is
-solved by integer products. A cell is cut into slices of rows by a hash of the id, so a vector repeated any number of
-times never meets in one task; the slices' best k per query are merged by a second ranking.
+solved by integer products. A cell is cut into slices of rows by a hash of the id and the vector, so neither a vector nor an
+id repeated any number of times meets in one task; the slices' best k per query are merged by a second ranking.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id;
 shorter vectors are padded with zeros; rows with the id of a query are not its candidates; a repeated query row is answered
@@ -54,6 +54,22 @@ def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _least(d: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest distinct ids, each with its least distance, in order of distance."""
+    order = np.lexsort((ids, d))
+    d, ids = d[order], np.asarray(ids, np.int64)[order]
+    _, first = np.unique(ids, return_index=True)
+    first = np.sort(first)[:most]
+    return d[first], ids[first]
+
+
+def _mixed(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """31 bits of hash of id and integer vector."""
+    odd = np.random.default_rng(5).integers(0, 1 << 63, vectors.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    total = (vectors.astype(np.int64).view(np.uint64) * odd).sum(1, dtype=np.uint64) + ids.astype(np.uint64)
+    return total * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+
+
 def _lifted(points: np.ndarray, top: float, query: bool) -> np.ndarray:
     extra = np.zeros(len(points)) if query else np.sqrt(np.maximum(top**2 - (points**2).sum(1), 0))
     return np.hstack([points, extra[:, None]])
@@ -71,8 +87,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, scale: int = 1024, i
     if not facts["n"] or not asked["n"]:
         return spark.createDataFrame([], empty)
     width, top = max(facts["w"], asked["w"]), float(np.sqrt(facts["s"])) * (1 + SLACK) + SLACK
-    own = right.groupBy("vec_id").count().agg(F.max("count").alias("m")).first()["m"]  # rows a query may have to leave out
-    wanted = k + own
+    wanted = k + 1  # so many ids hold k rows that aren't the query's own
 
     sample = right.sample(fraction=min(1.0, 4.0 * PIVOTS / facts["n"]), seed=7).limit(8 * PIVOTS).collect()
     points = np.zeros((max(1, len(sample)), width))
@@ -93,22 +108,26 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, scale: int = 1024, i
     q, s = celled(left, True), celled(right, False)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per task and cell the rows, the largest distance and the ``wanted`` smallest ones."""
+        """Per task and cell the rows, the largest distance and the ``wanted`` nearest ids with their least distances."""
         held: dict[int, list] = {}
         for batch in batches:
-            for cell, part in batch.groupby("cell")["d"]:
-                n, far, near = held.get(cell, [0, 0.0, np.empty(0)])
-                held[cell] = [n + len(part), max(far, part.max()), np.sort(np.concatenate([near, part.to_numpy()]))[:wanted]]
-        yield pd.DataFrame([(c, n, far, list(near)) for c, (n, far, near) in held.items()], columns=["cell", "n", "far", "near"])
-
-    parts = s.select("cell", "d").mapInPandas(nearest, "cell int, n long, far double, near array<double>")
-    merged = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, int(wanted)).alias("near"))
-    cells = {r["cell"]: r for r in merged.collect()}  # one row per pivot
+            for cell, part in batch.groupby("cell"):
+                n, far, near = held.get(cell, [0, 0.0, (np.empty(0), np.empty(0, np.int64))])
+                held[cell] = [n + len(part), max(far, part["d"].max()), _least(np.concatenate([near[0], part["d"]]), np.concatenate([near[1], part["vec_id"]]), wanted)]
+        yield pd.DataFrame([(c, n, far, list(d), list(ids)) for c, (n, far, (d, ids)) in held.items()], columns=["cell", "n", "far", "near", "ids"])
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        d, ids = _least(np.concatenate(parts["near"].tolist()), np.concatenate(parts["ids"].tolist()), wanted)
+        return pd.DataFrame([(parts["cell"].iloc[0], parts["n"].sum(), parts["far"].max(), list(d), list(ids))], columns=["cell", "n", "far", "near", "ids"])
+
+    summary = "cell int, n long, far double, near array<double>, ids array<long>"
+    parts = s.select("cell", "d", "vec_id").mapInPandas(nearest, summary)
+    cells = {r["cell"]: r for r in parts.groupBy("cell").applyInPandas(merge, summary).collect()}  # one row of wanted ids per pivot
     radius = {r["cell"]: (r["far"], r["n"]) for r in q.groupBy("cell").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     apart = _distances(pivots, pivots)
     bound = {}
     for i, (far, _) in radius.items():
-        upper = np.sort(np.concatenate([far + apart[i, j] + np.array(r["near"]) for j, r in cells.items()]))
+        upper, _ = _least(np.concatenate([far + apart[i, j] + np.array(r["near"]) for j, r in cells.items()]), np.concatenate([r["ids"] for r in cells.values()]), wanted)
         bound[i] = (upper[wanted - 1] if len(upper) >= wanted else np.inf) * (1 + SLACK) + SLACK
     targets = sorted(radius)
     # Rows a query cell may receive, from the cells' own ranges, give its number of slices.
@@ -119,13 +138,14 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, scale: int = 1024, i
         """Each data row once for every query cell and block that needs it."""
         for batch in batches:
             ids, cell, d = (np.asarray(batch.column(i)) for i in (0, 2, 3))
+            mixed = _mixed(ids, _matrix(batch.column(1), width))
             for i in targets:
                 gap = apart[i, cell]
                 # Both triangle bounds: around the row's own pivot and around the query cell's.
                 need = np.flatnonzero(np.maximum(gap - radius[i][0] - d, d - gap - radius[i][0]) <= bound[i])
                 if len(need):
                     part = batch.take(pa.array(need))
-                    piece = (ids[need].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slices[i])
+                    piece = mixed[need] % np.uint64(slices[i])
                     for b in range(blocks[i]):
                         n = len(need)
                         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(piece.astype(np.int32))], names=["vec_id", "v", "cell", "block", "slice"])
