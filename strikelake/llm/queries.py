@@ -6,10 +6,10 @@ import functools
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import bpe, exact_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity, voronoi, warc
+from strikelake.llm import alignment, bpe, exact_dedup, language, mixing, ngram_join, quality, secrets, spelling, suffix_dedup, toxicity, voronoi, warc
 from strikelake.llm.common import LOWER, UPPER, table
 from strikelake.session import configure
 
@@ -125,3 +125,65 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans, size = F.size("removed_spans").cast("long"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return cut.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept_bytes")).alias("n_removed"), spans.alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def piece_model_path() -> str:
+    """The sentencepiece model: from CORPUS_PIECE_MODEL, else the one of the installed public tokenizers."""
+    if path := os.environ.get("CORPUS_PIECE_MODEL"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_register("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path(), carry=["doc_id"], digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@_register("op12_language")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, learn_from=~fold("id"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", fold("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+#: A word of at least this many code points with at least this many occurrences is looked at; one occurrence in EDITED loses a letter.
+SPELLING_LENGTH, SPELLING_COUNT, SPELLING_RATIO, EDITED = 6, 5, 5, 199
+
+
+def _edited(doc_id: Column, word: Column) -> Column:
+    """The contract's rule: an occurrence whose crc32 is divisible by EDITED loses the code point that the crc32 points to."""
+    h = F.crc32(F.concat(doc_id, F.lit(":"), word).cast("binary"))
+    at = F.pmod(h, F.char_length(word).cast("long")).cast("int")
+    return F.when(F.pmod(h, F.lit(EDITED)) == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))).otherwise(word)
+
+
+#: Accented letters stand for one byte each, as DuckDB's levenshtein counts bytes.
+_ACCENTED = "".join(chr(c) for c in range(0xC0, 0x100))
+_STAND_INS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).islower())[: len(_ACCENTED)]
+
+
+@_register(
+    "op13_spelling",
+    f"""WITH RECURSIVE t AS (
+        SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+    runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+    c AS (SELECT d, w, count(*) AS k FROM runs WHERE length(w) >= {SPELLING_LENGTH} GROUP BY d, w),
+    b AS (SELECT w, k, hex(encode(d || ':' || w)) AS x FROM c),
+    h AS (SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x)::BIGINT, 2), lambda i: ('0x' || x[i:i+1])::BIGINT)),
+        lambda a, y: xor(t.crc[(xor(a, y) & 255) + 1], a >> 8))) AS h FROM b, t),
+    e AS (SELECT CASE WHEN h % {EDITED} = 0 THEN substr(w, 1, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS w, k FROM h),
+    v AS (SELECT w, sum(k)::BIGINT AS n, length(w) AS l, translate(w, '{_ACCENTED}', '{_STAND_INS.replace("'", "''")}') AS z FROM e GROUP BY w HAVING length(w) >= {SPELLING_LENGTH} AND sum(k) >= {SPELLING_COUNT}),
+    p AS (SELECT a.w, a.n, b.w AS near, b.n AS m FROM v a JOIN v b ON b.l BETWEEN a.l - 1 AND a.l + 1 AND a.w <> b.w WHERE levenshtein(a.z, b.z) = 1),
+    f AS (SELECT w, count(*) AS n_near, min((-m, near)) AS best FROM p GROUP BY w),
+    g AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= {SPELLING_RATIO} * v.n THEN best[2] END AS form, CASE WHEN -best[1] >= {SPELLING_RATIO} * v.n THEN -best[1] END AS form_n FROM v LEFT JOIN f ON v.w = f.w),
+    s AS (SELECT w, w AS root, form AS next FROM g UNION ALL SELECT s.w, g.w, g.form FROM s JOIN g ON s.next = g.w)
+    SELECT g.w AS word, g.form, s.root, g.n::BIGINT AS n, g.n_near::BIGINT AS n_near, g.form_n::BIGINT AS form_n FROM g JOIN s ON g.w = s.w AND s.next IS NULL""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), SPELLING_LENGTH, SPELLING_COUNT, _edited)
+    return spelling.group_variants(counts, SPELLING_RATIO)
