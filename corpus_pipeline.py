@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikelake.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from strikelake.llm.common import table
+from strikelake.llm.common import configure, table
 from strikelake.llm.queries import tokenizer_path
-from strikelake.session import configure, materialize
+from strikelake.session import materialize
 
 #: Documents whose calibrated chance of being good is below this go.
 LEAST_QUALITY = 0.5
@@ -22,24 +22,29 @@ MIXING_ALPHA = 0.8
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"), LEAST_QUALITY)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     return ngram_join.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     domains = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
     return mixing.resample(docs, domains, mixing.tempered_targets(MIXING_ALPHA), least=1.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether decoding the ids gives the text back."""
+    configure(spark)
     back = bpe.encode(docs.select("doc_id", "text"), tokenizer_path(), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))

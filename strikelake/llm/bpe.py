@@ -10,8 +10,8 @@ its byte table is filled as transitions are met. Decoding emits the byte labels
 
 Defined cases: a null text has no tokens, as the empty one; decoding null or empty ids gives an empty text, unknown ids
 are skipped and bytes that aren't UTF-8 become U+FFFD; added tokens are cut out of the raw text first.
-Rows pass through with all their columns; ``ids`` and ``decoded`` name the new ones. Memory: one Arrow batch and a word
-cache and byte table of CACHE_WORDS and TABLE_STATES entries per worker.
+Rows pass through with all their columns; ``ids`` and ``decoded`` name the new ones. Memory: one Arrow batch, CACHE_WORDS
+words of CACHED_SIZE characters at most, and a byte table that is emptied beyond TABLE_STATES, in the midst of a word too.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_WORDS = 250_000
-TABLE_STATES = 150_000
+#: Bounds of a worker's memory: words kept with their ids, their longest size in characters, states and arcs of the byte table.
+CACHE_WORDS, CACHED_SIZE = 250_000, 64
+TABLE_STATES, TABLE_ARCS = 150_000, 400_000
 
 #: The split pattern of the byte-level tokenizer. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,6 +94,8 @@ class Automaton:
         key = before * len(self.labels) + token
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= TABLE_ARCS:
+                self.table.clear()
             known = self.table[key] = self._arc(before, token)
         return known
 
@@ -134,20 +137,32 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """Walk the byte table, then follow the last tokens back."""
-        if len(self.content) > TABLE_STATES:
-            self.start()
-        step, state, seen = self.step, 0, [0]
+        step, content, sizes, state, last = self.step, self.content, self.sizes, 0, []
         for byte in word:
             after = step.get(state << 8 | byte)
-            state = self._grow(state, byte) if after is None else after
-            seen.append(state)
-        content, sizes, path, i = self.content, self.sizes, [], len(word)
+            if after is None:
+                if len(content) >= TABLE_STATES:
+                    state = self._restart(state)
+                    step, content = self.step, self.content
+                after = self._grow(state, byte)
+            state = after
+            last.append(content[state][0])
+        path, i = [], len(word)
         while i:
-            token = content[seen[i]][0]
+            token = last[i - 1]
             path.append(token)
             i -= sizes[token]
         return tuple(reversed(path))
 
+    def _restart(self, state: int) -> int:
+        """Empties the byte table and returns the new number of a state."""
+        here = self.content[state]
+        self.start()
+        if here != self.content[0]:
+            self.states[here] = len(self.content)
+            self.content.append(here)
+        return self.states[here]
+
     def decode(self, ids) -> str:
         size = len(self.labels)
         return b"".join([self.labels[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
@@ -189,6 +204,8 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.machine.encode_word(word.encode())
+        if len(word) > CACHED_SIZE:
+            return ids
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = ids

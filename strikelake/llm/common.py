@@ -9,12 +9,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikelake import session
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Rows of an Arrow batch. Texts are long, so that the default of 10,000 would be tens of MB in the JVM and in each worker.
+BATCH_ROWS = 1_000
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """The library's settings, and Arrow batches of few rows."""
+    session.configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

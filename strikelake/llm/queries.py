@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikelake.llm import alignment, bpe, exact_dedup, language, mixing, ngram_join, quality, secrets, spelling, suffix_dedup, toxicity, voronoi, warc
-from strikelake.llm.common import LOWER, UPPER, table
-from strikelake.session import configure
+from strikelake.llm.common import LOWER, UPPER, configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
