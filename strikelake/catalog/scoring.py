@@ -461,10 +461,40 @@ def bootstrap_metric_intervals(spark, d):
     sql="SELECT event_id, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'fit' ELSE 'val' END AS split FROM x",
 )
 def row_tail_split(spark, d):
-    from strikelake.operators.skew import time_slice
     from strikelake.sources.tables import load
 
     e = load(spark, d, "events").select("event_id", "ts")
-    fit, val, _ = P.resolve_validation(e, "week", ["ts", "event_id"], time_slice(F.col("ts")))
+    fit, val, _ = P.resolve_validation(e, "week", ["ts", "event_id"])
     part = lambda x, name: x.select("event_id", F.lit(name).alias("split"))
     return part(fit, "fit").unionByName(part(val, "val"))
+
+
+@register(
+    "test_split_without_weeks",
+    "x AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events)",
+    sql="SELECT event_id, CASE WHEN rn <= greatest(1, floor(n * 0.8::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM x",
+)
+def test_split_without_weeks(spark, d):
+    from strikelake.sources.tables import load
+
+    train, test = P.split_test(load(spark, d, "events").select("event_id", "ts"), "week", 20, ["ts", "event_id"])
+    part = lambda x, name: x.select("event_id", F.lit(name).alias("split"))
+    return part(train, "train").unionByName(part(test, "test"))
+
+
+@register(
+    "weighted_calibration_error",
+    LABELLED,
+    "tw AS (SELECT 'baseline_pRN' AS model, p_base AS p, y, w, group_id, l_linenumber, l_partkey FROM labelled UNION ALL SELECT 'logit', p_model, y, w, group_id, l_linenumber, l_partkey FROM labelled)",
+    f"pw AS (SELECT model, p, y, CAST(w AS DECIMAL(20, 9)) AS w, {TIE_SQL} AS t FROM tw)",
+    "cw AS (SELECT *, sum(w) OVER (PARTITION BY model ORDER BY p, t, y ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY model) AS total FROM pw WHERE w > 0)",
+    """ed AS (WITH RECURSIVE e AS (SELECT model, max(total) AS total, 0 AS b, CAST(0 AS DECIMAL(38, 9)) AS lo, CAST(0 AS DECIMAL(38, 9)) AS hi FROM cw GROUP BY model
+   UNION ALL SELECT e.model, any_value(e.total), any_value(e.b) + 1, any_value(e.hi),
+     CASE WHEN any_value(e.b) = 6 THEN any_value(e.total) ELSE coalesce(max(CASE WHEN (c.upto - e.hi) * 7 <= e.total THEN c.upto END), min(c.upto), any_value(e.hi)) END
+   FROM e LEFT JOIN cw c ON c.model = e.model AND c.upto > e.hi WHERE e.b < 7 GROUP BY e.model) SELECT * FROM e WHERE b > 0)""",
+    "bw AS (SELECT c.model, b, sum(w::DOUBLE * p) AS sp, sum(w::DOUBLE * y) AS sy, any_value(c.total)::DOUBLE AS total FROM cw c JOIN ed ON c.model = ed.model AND c.upto > lo AND c.upto <= hi GROUP BY 1, 2)",
+    sql=f"SELECT model, {r6('sum(abs(sp - sy)) / any_value(total)')} AS ece_w FROM bw GROUP BY 1",
+)
+def weighted_calibration_error(spark, d):
+    tall = M.stack_models(labelled(spark, d), [], "y", "p_model", "p_base")
+    return M.ece_equal_mass(tall, ["model"], "y", "p", tie(), 7, weight="w").select("model", r(F.col("ece_q"), 6).alias("ece_w"))

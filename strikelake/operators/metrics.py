@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelake.functions.scalar import EPS, clip, finite
+from strikelake.operators.ranks import with_running_sum
 from strikelake.operators.skew import dense_index, text_bucket, with_scalars
+from strikelake.session import materialize
 
 
 def loss_log(y: Column, p: Column, eps: float = EPS) -> Column:
@@ -99,18 +101,8 @@ def equal_mass_bins(
         counts = small.join(copies, unit).groupBy(*by, "_p").agg(
             F.sum(F.col("_c") * F.col("m")).alias("_c"), F.sum(F.col("_sy") * F.col("m")).alias("_sy")
         )
-    # Position of every distinct p: offset of its slice of [0,1], plus a running sum inside the slice.
-    counts = counts.withColumn("_s", F.floor(F.col("_p") * 4096).cast("int"))
-    slices = counts.groupBy(*by, "_s").agg(F.sum("_c").alias("_n"))
-    part = by or [F.lit(0)]
-    run = Window.partitionBy(*part).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        *by, "_s", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy(*part)).alias("_total")
-    )
-    inside = Window.partitionBy(*by, "_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.join(slices, [*by, "_s"]).withColumn(
-        "_first", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
-    )
+    # Position of every distinct p: a prefix scan over the counts.
+    placed = with_running_sum(counts, by, ["_p"], F.col("_c"), "_upto", "_total").withColumn("_first", F.col("_upto") - F.col("_c"))
     size = F.greatest(F.lit(1), F.floor(F.col("_total") / n_bins)).cast("long")
     bin_at = lambda pos: F.least(F.lit(n_bins - 1), F.floor(pos / F.col("_size"))).cast("int")
     placed = placed.withColumn("_size", size).withColumns(
@@ -150,9 +142,38 @@ def equal_mass_bins(
     )
 
 
+def weighted_mass_bins(df: DataFrame, by: Sequence[str], y: str, p: str, weight: str, tie: Column, n_bins: int = 10) -> DataFrame:
+    """Greedy bins of equal weight in order of p: (by..., bin, _c, _sp, _sy) with weighted sums.
+
+    A bin takes rows while its weight stays within total / n_bins, one row at least, and the last bin takes the rest. Rows are
+    cumulated by a prefix scan; then each bin edge is one aggregate over the cumulated weights behind the edge before. Weights are
+    decimals of 9 places, so sums and edges don't depend on partitions; rows without a positive weight carry nothing.
+    """
+    by = list(by)
+    rows = df.select(*by, clip(F.col(p), 0.0, 1.0).alias("_p"), F.col(y).cast("double").alias("_y"), tie.alias("_tie"), F.col(weight).cast("decimal(20,9)").alias("_w"))
+    rows = rows.where((F.col("_w") > 0) & F.col("_p").isNotNull() & F.col("_y").isNotNull())
+    ranked = materialize(with_running_sum(rows, by, ["_p", "_tie", "_y"], F.col("_w"), "_upto", "_total"), "weighted")
+    attach = lambda left, right, how="inner": left.join(right, by, how) if by else with_scalars(left, right)
+    bins = F.lit(n_bins).cast("decimal(3,0)")
+    edges = ranked.groupBy(*by).agg(F.max("_total").alias("_total"), F.min(F.col("_upto") - F.col("_upto")).alias("_at")).where(F.col("_total").isNotNull())
+    edges = edges.withColumn("_edges", F.array().cast("array<decimal(30,9)>"))
+    for _ in range(n_bins - 1):
+        behind = attach(ranked.select(*by, "_upto"), edges.select(*by, "_total", "_at")).where(F.col("_upto") > F.col("_at"))
+        fits = (F.col("_upto") - F.col("_at")) * bins <= F.col("_total")
+        found = behind.groupBy(*by).agg(F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.min("_upto")).alias("_to"))
+        to = F.coalesce("_to", "_at").cast("decimal(30,9)")
+        edges = materialize(attach(edges, found, "left").select(*by, "_total", to.alias("_at"), F.concat("_edges", F.array(to)).alias("_edges")), "bin-edges")
+    at = F.size(F.filter("_edges", lambda e: e < F.col("_upto")))
+    w = F.col("_w").cast("double")
+    placed = attach(ranked.drop("_total"), edges.select(*by, "_edges")).withColumn("bin", F.least(at, F.lit(n_bins - 1)))
+    return placed.groupBy(*by, "bin").agg(F.sum(w).alias("_c"), F.sum(w * F.col("_p")).alias("_sp"), F.sum(w * F.col("_y")).alias("_sy"))
+
+
 def ece_equal_mass(
-    df: DataFrame, by: Sequence[str], y: str, p: str, tie: Column, n_bins: int = 10, copies: DataFrame | None = None, unit: str | None = None
+    df: DataFrame, by: Sequence[str], y: str, p: str, tie: Column, n_bins: int = 10, copies: DataFrame | None = None, unit: str | None = None, weight: str | None = None
 ) -> DataFrame:
+    if weight is not None:
+        return _error_from_bins(weighted_mass_bins(df, by, y, p, weight, tie, n_bins), by, "ece_q")
     return _error_from_bins(equal_mass_bins(df, by, y, p, tie, n_bins, copies, unit), by, "ece_q")
 
 

@@ -1,23 +1,19 @@
 """Exact linear-interpolation percentiles of unbounded groups.
 
-`percentile` keeps every distinct value of a group in one task's memory. Here equal values are first
-counted (combined before the shuffle), a histogram per group locates the bin holding each wanted
-rank, and only the values of those bins are ordered. Two rounds of zooming bring a bin down to about
-a millionth of the range.
+`percentile` keeps every distinct value of a group in one task's memory. Here equal values are first counted (combined before
+the shuffle), and a prefix scan over the ordered distinct values finds those at the wanted ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from strikelake.operators.skew import with_scalars
+from strikelake.operators.ranks import values_at_ranks
 
-BINS = 1024
 
-
-def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], rounds: int = 2) -> DataFrame:
+def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """(groups..., prob, value) with numpy's default interpolation between neighbouring ranks."""
     g = list(groups)
     counted, total = _counted(df, g, value)
@@ -25,18 +21,18 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     pos = F.col("_p") * (F.col("_n") - 1)
     want = total.select(*g, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
     want = want.select(*g, "_p", pos.alias("_pos"), F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))).alias("_rank"))
-    at_rank = _values_at(counted, want.select(*g, "_rank").distinct(), g, rounds)
+    at_rank = values_at_ranks(counted, want.select(*g, "_rank"), g, "_v", "_c")
     both = want.join(at_rank, [*g, "_rank"])
     lo, hi = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
     frac = F.max(F.col("_pos") - F.floor("_pos"))
     return both.groupBy(*g, F.col("_p").alias("prob")).agg((lo + (hi - lo) * frac).alias("value"))
 
 
-def value_at_fraction(df: DataFrame, value: str, fraction: float, rounds: int = 2) -> DataFrame:
+def value_at_fraction(df: DataFrame, value: str, fraction: float) -> DataFrame:
     """One row: the value at 0-based position floor(n * fraction) in sorted order."""
     counted, total = _counted(df, [], value)
     want = total.select(F.floor(F.col("_n") * fraction).alias("_rank"))
-    return _values_at(counted, want, [], rounds).select(F.col("_v").alias("value"))
+    return values_at_ranks(counted, want, [], "_v", "_c").select(F.col("_v").alias("value"))
 
 
 def _counted(df: DataFrame, g: list[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -45,38 +41,6 @@ def _counted(df: DataFrame, g: list[str], value: str) -> tuple[DataFrame, DataFr
     return counted, total if g else total.where(F.col("_n").isNotNull())
 
 
-def _values_at(counted: DataFrame, ranks: DataFrame, g: list[str], rounds: int) -> DataFrame:
-    """(groups..., _rank, _v) for 0-based ranks, by zooming into histogram bins."""
-    path: list[str] = []
-    pool = counted
-    open_ranks = ranks.withColumn("_k", F.col("_rank"))
-    for level in range(rounds):
-        key = [*g, *path]
-        bucket = f"_b{level}"
-        bounds = pool.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        width = (F.col("_hi") - F.col("_lo")) / BINS
-        placed = _join(pool, bounds, key).withColumn(
-            bucket, F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0)), F.lit(BINS - 1)).cast("int")
-        ).drop("_lo", "_hi")
-        sizes = placed.groupBy(*key, bucket).agg(F.sum("_c").alias("_s"))
-        run = Window.partitionBy(*(key or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(run), F.lit(0)))
-        # At most BINS rows per key meet the few open ranks of that key.
-        hit = _join(open_ranks, sizes, key).where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_s")))
-        open_ranks = hit.select(*g, *path, bucket, "_rank", (F.col("_k") - F.col("_before")).alias("_k"))
-        path = [*path, bucket]
-        pool = placed.join(open_ranks.select(*g, *path).distinct(), [*g, *path], "left_semi")
-    key = [*g, *path]
-    run = Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    pool = pool.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
-    found = open_ranks.join(pool, key).where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c")))
-    return found.select(*g, "_rank", "_v")
-
-
-def _join(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    return a.join(b, key) if key else with_scalars(a, b)
-
-
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, median): all columns in one tall pass."""
     tall = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns])))

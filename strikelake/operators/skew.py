@@ -76,21 +76,6 @@ def with_neighbours(
     )
 
 
-def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_col: Column, name: str = "position"
-) -> DataFrame:
-    """1-based row position within the key. `slice_col` must not decrease along `order`."""
-    keys = list(keys)
-    base = df.withColumn("_s", slice_col)
-    sizes = base.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_s", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_s").orderBy(*order)
-    return base.join(offsets, [*keys, "_s"]).select(
-        *df.columns, (F.col("_off") + F.row_number().over(inside)).alias(name)
-    )
-
-
 def text_bucket(text: Column, hex_digits: int = 3) -> Column:
     """Even, order-preserving bucket of an md5 text: its leading hex digits."""
     return F.substring(text, 1, hex_digits)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelake.operators.percentiles import value_at_fraction
 from strikelake.operators.relational import drop_shared_groups
-from strikelake.operators.skew import with_position, with_scalars
+from strikelake.operators.ranks import split_at_fraction
+from strikelake.operators.skew import with_scalars
 
 MIN_TRAIN_WEEKS = 8
 
@@ -38,8 +39,12 @@ def test_start(df: DataFrame, week: str, test_weeks: int) -> DataFrame:
     return weeks.select(F.when(n > test_weeks, F.try_element_at("_w", n - test_weeks + 1)).alias("test_start"))
 
 
-def split_test(df: DataFrame, week: str, test_weeks: int) -> tuple[DataFrame, DataFrame]:
-    """(train pool, test): the last `test_weeks` weeks are held out."""
+def split_test(df: DataFrame, week: str, test_weeks: int, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train pool, test): the last `test_weeks` weeks are held out; without a week column the last fifth of the rows in `order`."""
+    if week not in df.columns:
+        if not order:
+            raise ValueError(f"without the column {week!r} the test split needs an order of the rows")
+        return split_at_fraction(df, order, 0.8)
     marked = with_scalars(df, test_start(df, week, test_weeks))
     is_test = F.coalesce(F.col(week) >= F.col("test_start"), F.lit(False))
     return marked.where(~is_test).drop("test_start"), marked.where(is_test).drop("test_start")
@@ -61,27 +66,18 @@ def split_validation(train: DataFrame, week: str, val_weeks: int | None = None)
     return marked.where(~held).drop("_vs"), marked.where(held).drop("_vs")
 
 
-def split_row_tail(df: DataFrame, order: list[str], slice_col: Column, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(head, tail) by sorted position: at least one head row, and at least one tail row when there are two.
-
-    `slice_col` must not decrease along `order`; positions come from counts per slice, not a global sort.
-    """
-    total = df.agg(F.count("*").alias("_n"))
-    cut = F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))
-    cut = F.when(cut >= F.col("_n"), F.greatest(F.lit(0), F.col("_n") - 1)).otherwise(cut)
-    marked = with_scalars(with_position(df, [], order, slice_col, "_pos"), total.withColumn("_cut", cut).drop("_n"))
-    return (
-        marked.where(F.col("_pos") <= F.col("_cut")).select(*df.columns), marked.where(F.col("_pos") > F.col("_cut")).select(*df.columns)
-    )
+def split_row_tail(df: DataFrame, order: list[str], fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(head, tail) by sorted position: at least one head row, and at least one tail row when there are two."""
+    return split_at_fraction(df, order, fraction, least_tail=1)
 
 
 def resolve_validation(
-    train: DataFrame, week: str, order: list[str], slice_col: Column, val_weeks: int | None = None
+    train: DataFrame, week: str, order: list[str], val_weeks: int | None = None
 ) -> tuple[DataFrame, DataFrame, str]:
     """Week-grouped split when there are at least two weeks, else the row tail; the mode comes along."""
     if week in train.columns and train.select(week).dropna().distinct().limit(2).count() == 2:
         return (*split_validation(train, week, val_weeks), "week_group")
-    return (*split_row_tail(train, order, slice_col), "row_tail")
+    return (*split_row_tail(train, order), "row_tail")
 
 
 def fraction_boundary(df: DataFrame, order: str, fraction: float) -> DataFrame:

@@ -79,12 +79,12 @@ def test_dense_index_has_no_gaps(spark):
     assert out == list(range(777))
 
 
-@pytest.mark.parametrize("kind", ["uniform", "heavy", "ties", "single", "wide"])
+@pytest.mark.parametrize("kind", ["uniform", "heavy", "ties", "single", "wide", "crowded"])
 def test_exact_percentiles_equal_numpy(spark, kind):
     rng = np.random.default_rng(5)
     x = {
         "uniform": rng.random(997), "heavy": np.exp(rng.normal(0, 6, 800)), "ties": rng.integers(0, 4, 600).astype(float), "single": np.array([2.5]),
-        "wide": np.concatenate([rng.normal(0, 1e-9, 500), [1e12]]),
+        "wide": np.concatenate([rng.normal(0, 1e-9, 500), [1e18]]), "crowded": np.concatenate([np.full(400, 0.5), 0.5 + rng.random(600) * 1e-4]),
     }[kind]
     df = frame(spark, [("g", float(v)) for v in x] + [("g", None)], "g string, x double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
@@ -118,6 +118,60 @@ def test_equal_mass_error_equals_brute_force(spark, n, bins, levels):
     assert got == pytest.approx(ece_q_brute(p, y, tie, bins), abs=1e-12)
 
 
+def greedy_error(p, y, w, tie, n_bins):
+    """The rule told row by row: a bin takes rows while its weight stays within its share, one at least."""
+    rows = sorted((a, t, b, int(c)) for a, b, c, t in zip(p, y, w, tie) if c > 0)
+    total, out, at = sum(r[3] for r in rows), 0.0, 0
+    for b in range(n_bins):
+        got = []
+        while at < len(rows) and (b == n_bins - 1 or not got or (sum(r[3] for r in got) + rows[at][3]) * n_bins <= total):
+            got.append(rows[at])
+            at += 1
+        out += abs(sum(r[3] * r[0] for r in got) - sum(r[3] * r[2] for r in got)) / total
+    return out
+
+
+@pytest.mark.parametrize("kind", ["even", "crowded", "hot", "heavy", "few"])
+def test_weighted_equal_mass_error_equals_brute_force(spark, kind):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    n = 4 if kind == "few" else 400
+    p = {"crowded": 0.5 + rng.random(n) * 1e-4, "hot": np.where(rng.random(n) < 0.4, 0.25, rng.random(n))}.get(kind, rng.random(n))
+    y = (rng.random(n) < p).astype(int)
+    w = {"even": np.ones(n), "heavy": np.where(np.arange(n) % 50 == 7, 5000, rng.integers(0, 3, n))}.get(kind, rng.integers(0, 9, n) + (kind == "few"))
+    tie = [hashlib.md5(str(i).encode()).hexdigest() for i in range(n)]
+    rows = [("a", float(a), int(b), float(c), t) for a, b, c, t in zip(p, y, w, tie)]
+    extra = [("b", 0.3, 1, 2.0, "x"), ("b", 0.4, 0, None, "y"), ("b", None, 0, 1.0, "z"), (None, 0.3, 1, 2.0, "x")]
+    df = frame(spark, rows + extra, "g string, p double, y int, w double, t string")
+    got = {r["g"]: r["ece_q"] for r in metrics.ece_equal_mass(df, ["g"], "y", "p", F.col("t"), 10, weight="w").collect()}
+    assert got["a"] == pytest.approx(greedy_error(p, y, w, tie, 10), abs=1e-9) and got["b"] == pytest.approx(0.7)
+    alone = metrics.ece_equal_mass(df.where("g = 'a'"), [], "y", "p", F.col("t"), 10, weight="w").first()["ece_q"]
+    assert alone == pytest.approx(got["a"], abs=1e-12)
+
+
+def test_running_sum_over_partitions(spark):
+    from strikelake.operators.ranks import with_running_sum
+
+    rng = np.random.default_rng(8)
+    rows = [(("hot" if i % 3 else f"k{i % 7}") if i % 50 else None, float(v), i) for i, v in enumerate(np.append(rng.normal(0, 1e-6, 1499), 1e18))]
+    df = frame(spark, rows, "k string, v double, i int").repartition(6)
+    got = {r["i"]: (r["s"], r["t"]) for r in with_running_sum(df, ["k"], ["v", "i"], F.col("i").cast("long"), "s", "t").collect()}
+    for k in {r[0] for r in rows}:
+        own, run = sorted((v, i) for k2, v, i in rows if k2 == k), 0
+        for _, i in own:
+            run += i
+            assert got[i] == (run, sum(i for _, i in own))
+
+
+@pytest.mark.parametrize("n,head", [(1, 1), (2, 1), (5, 4), (11, 8)])
+def test_test_split_without_a_week_column(spark, n, head):
+    train, test = splits.split_test(spark.range(n), "week", 4, ["id"])
+    assert (train.count(), test.count()) == (head, n - head)
+    with pytest.raises(ValueError):
+        splits.split_test(spark.range(3), "week", 4)
+
+
 def test_bootstrap_equals_resampling_the_rows(spark):
     import hashlib
 
@@ -344,7 +398,7 @@ def test_empty_tables_pass_through(spark):
 
 @pytest.mark.parametrize("n,head", [(1, 0), (2, 1), (5, 4), (10, 8)])
 def test_row_tail_keeps_both_sides(spark, n, head):
-    a, b = splits.split_row_tail(spark.range(n), ["id"], F.floor(F.col("id") / 3))
+    a, b = splits.split_row_tail(spark.range(n), ["id"])
     assert (a.count(), b.count()) == (head, n - head)
 
 
