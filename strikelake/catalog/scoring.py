@@ -246,6 +246,28 @@ def walk_forward_folds(spark, d):
     )
 
 
+@register(
+    "walk_forward_fold_facts",
+    *WEEKS,
+    """f AS (SELECT 5 - k AS fold, (SELECT max(n) FROM wl) - k * 12 AS ve FROM (SELECT unnest(range(0, 5)) AS k))""",
+    """g AS (SELECT fold, (SELECT week FROM wl WHERE i = ve - 12 - 60 + 1) AS tlo, (SELECT week FROM wl WHERE i = ve - 12) AS thi,
+   (SELECT week FROM wl WHERE i = ve - 12 + 1) AS vlo, (SELECT week FROM wl WHERE i = ve) AS vhi FROM f)""",
+    "v AS (SELECT g.fold, l.* FROM lw l JOIN g ON l.week BETWEEN vlo AND vhi)",
+    "vb AS (SELECT fold, min(asof_date) AS b, count(*) AS n_val FROM v GROUP BY 1)",
+    "vg AS (SELECT DISTINCT fold, group_id FROM v)",
+    """t AS (SELECT g.fold, l.asof_date, vg.fold IS NOT NULL AS purged, vg.fold IS NULL AND NOT l.asof_date < b - INTERVAL 5 DAY AS late, b, n_val
+   FROM lw l JOIN g ON l.week BETWEEN tlo AND thi JOIN vb ON vb.fold = g.fold LEFT JOIN vg ON vg.fold = g.fold AND vg.group_id = l.group_id)""",
+    sql="""SELECT CAST(fold AS INT) AS fold, count_if(NOT purged AND NOT late)::BIGINT AS n_train, any_value(n_val) AS n_val, count_if(purged)::BIGINT AS n_purged, count_if(late)::BIGINT AS n_embargoed,
+  max(asof_date) FILTER (WHERE NOT purged AND NOT late) AS last_train, any_value(b) AS first_val, CAST(date_diff('day', max(asof_date) FILTER (WHERE NOT purged AND NOT late), any_value(b)) AS INT) AS gap_days FROM t GROUP BY 1""",
+)
+def walk_forward_fold_facts(spark, d):
+    x = weekly(spark, d)
+    folds = P.walk_forward(P.week_list(x, "week"), 5, 12, 60, expanding=False)
+    facts = P.fold_facts(P.fold_masks(x, folds, "week", "group_id", embargo=5, date_col="asof_date"), folds, "asof_date")
+    P.require_whole_folds(facts)
+    return facts
+
+
 @register(
     "outer_test_folds",
     *WEEKS,

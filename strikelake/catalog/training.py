@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strikelake.catalog import register
+from strikelake.catalog import chains as CH_, register
 from strikelake.catalog.scoring import labelled, tie
 from strikelake.functions.scalar import round_half_up as r
 from strikelake.models import logistic as L, mixed as X, selection as S
@@ -191,15 +191,21 @@ def horizon_overlay(spark, d):
     )
 
 
-@register("probability_at_market_strikes")
+@register(
+    "probability_at_market_strikes",
+    *CH_.ISOTONIC,
+    "sp AS (SELECT ticker, asof_date, min(strike) AS lo, max(strike) AS hi FROM smooth GROUP BY 1, 2)",
+    "tg AS (SELECT DISTINCT q.ticker, q.asof_date, q.strike + 0.25::DOUBLE AS strike FROM option_quotes q JOIN sp ON sp.ticker = q.ticker AND sp.asof_date = q.asof_date AND q.strike + 0.25::DOUBLE BETWEEN lo AND hi)",
+    """br AS (SELECT t.ticker, t.asof_date, t.strike, max_by(struct_pack(x := k.k_mid, b := k.p_iso), k.k_mid) FILTER (WHERE k.k_mid <= t.strike) AS l,
+   min_by(struct_pack(x := k.k_mid, b := k.p_iso), k.k_mid) FILTER (WHERE k.k_mid > t.strike) AS r
+   FROM tg t JOIN knots k ON t.ticker = k.ticker AND t.asof_date = k.asof_date GROUP BY 1, 2, 3)""",
+    sql=f"""SELECT ticker, asof_date, strike, {CH_.r9('CASE WHEN l IS NULL THEN r.b WHEN r IS NULL THEN l.b ELSE (r.b - l.b) / (r.x - l.x) * (strike - l.x) + l.b END')} AS "pRN" FROM br""",
+)
 def probability_at_market_strikes(spark, d):
-    """Rows-only: the same curve, isotonic and interpolation steps are checked by the chain queries."""
-    from strikelake.catalog import chains as CH_
-
     q = CH_.quotes(spark, d)
-    chains = q.select(*CH_.CHAIN).distinct()
-    wanted = q.select("ticker", (F.col("strike") + 0.255).alias("strike")).distinct()
-    return O.probabilities_at_strikes(q, chains, wanted, CH_.CHAIN, CH_.TIE)
+    wanted = q.select(*CH_.CHAIN, (F.col("strike") + 0.25).alias("strike"))
+    out = O.probabilities_at_strikes(q, q.select(*CH_.CHAIN).distinct(), wanted, CH_.CHAIN, CH_.TIE)
+    return out.select(*CH_.CHAIN, "strike", r(F.col("pRN"), 9).alias("pRN"))
 
 
 # --- models ---------------------------------------------------------------------------------------

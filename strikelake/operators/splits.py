@@ -3,6 +3,7 @@ rows never do. Fold membership is a join with a small literal table of week rang
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -164,35 +165,73 @@ def calendar_walk(start: date, end: date, train_days: int, test_days: int, step_
     ]
 
 
-def assign_folds(
+def _mask(folds: list[Fold], column: str, lo: str, hi: str) -> Column:
+    bits = [F.when(F.col(column).between(F.lit(getattr(f, lo)), F.lit(getattr(f, hi))), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(folds)]
+    return functools.reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0)).cast("long")
+
+
+def fold_masks(
     df: DataFrame, folds: list[Fold], column: str, group: str | None = None, embargo: int = 0, date_col: str | None = None
 ) -> DataFrame:
-    """One copy of a row per fold it belongs to, with `fold` and `role` (train / val).
+    """Every row once, with bitmasks over the folds (bit i for folds[i]): `val_folds`, `train_folds`, `purged_folds`, `embargoed_folds`.
 
-    Group purge and day embargo are applied inside each fold.
+    A train row is purged where its group validates, then embargoed where its day is within `embargo` days of the first
+    validation day or later; a row without a day is embargoed too. A group's mask is one aggregate joined back.
     """
-    spec = F.array(
-        *[
-            F.struct(
-                F.lit(f.fold).alias("fold"), F.lit(role).alias("role"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")
-            )
-            for f in folds
-            for role, lo, hi in (("train", f.train_lo, f.train_hi), ("val", f.val_lo, f.val_hi))
-        ]
-    )
-    hits = F.filter(spec, lambda s: (F.col(column) >= s["lo"]) & (F.col(column) <= s["hi"]))
-    rows = df.withColumn("_f", F.explode(hits)).select(*df.columns, "_f.fold", "_f.role")
-    val = rows.where(F.col("role") == "val")
+    if len(folds) > 62:
+        raise ValueError("a bitmask holds up to 62 folds")
+    masked = df.withColumns({"val_folds": _mask(folds, column, "val_lo", "val_hi"), "_train": _mask(folds, column, "train_lo", "train_hi")})
+    none = F.lit(0).cast("long")
+    purged = none
     if group:
-        shared = val.select("fold", group).dropna().distinct().withColumn("role", F.lit("train"))
-        rows = rows.join(shared, ["fold", "role", group], "left_anti").select(*df.columns, "fold", "role")
-    if embargo > 0:
+        shared = masked.where(F.col(group).isNotNull() & (F.col("val_folds") > 0)).groupBy(group).agg(F.bit_or("val_folds").alias("_shared"))
+        masked = masked.join(shared, group, "left")
+        purged = F.col("_train").bitwiseAND(F.coalesce("_shared", none))
+    masked = masked.withColumn("purged_folds", purged)
+    rest = F.col("_train").bitwiseAND(F.bitwise_not("purged_folds"))
+    embargoed = none
+    if embargo > 0 and folds:
         day = date_col or column
-        cut = val.groupBy("fold").agg(F.date_sub(F.min(day), embargo).alias("_cut"))
-        rows = rows.join(F.broadcast(cut), "fold", "left")  # one row per fold
-        keep = (F.col("role") == "val") | F.coalesce(F.col(day) < F.col("_cut"), F.col("_cut").isNull())
-        rows = rows.where(keep).select(*df.columns, "fold", "role")
-    return rows
+        first = [F.min(F.when(F.col("val_folds").bitwiseAND(F.lit(1 << i)) > 0, F.col(day))).alias(f"_first{i}") for i in range(len(folds))]
+        masked = with_scalars(masked, df.withColumn("val_folds", _mask(folds, column, "val_lo", "val_hi")).agg(*first))
+        late = [F.when(F.col(f"_first{i}").isNotNull() & ~F.coalesce(F.col(day) < F.date_sub(f"_first{i}", embargo), F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(folds))]
+        embargoed = rest.bitwiseAND(functools.reduce(lambda x, y: x.bitwiseOR(y), late).cast("long"))
+    masked = masked.withColumn("embargoed_folds", embargoed).withColumn("train_folds", rest.bitwiseAND(F.bitwise_not("embargoed_folds")))
+    return masked.select(*df.columns, "val_folds", "train_folds", "purged_folds", "embargoed_folds")
+
+
+def fold_facts(masked: DataFrame, folds: list[Fold], date_col: str) -> DataFrame:
+    """One row per fold from one aggregate: rows that train and validate, rows purged and embargoed, last train and first
+    validation day and the days between them."""
+    has = lambda c, i: F.col(f"{c}_folds").bitwiseAND(F.lit(1 << i)) > 0
+    counts = [F.count_if(has(c, i)).alias(f"{c}{i}") for i in range(len(folds)) for c in ("train", "val", "purged", "embargoed")]
+    days = [f(F.when(has(c, i), F.col(date_col))).alias(f"{n}{i}") for i in range(len(folds)) for c, f, n in (("train", F.max, "last"), ("val", F.min, "first"))]
+    one = masked.agg(*counts, *days)
+    row = lambda i, f: F.struct(
+        F.lit(f.fold).alias("fold"), F.col(f"train{i}").alias("n_train"), F.col(f"val{i}").alias("n_val"), F.col(f"purged{i}").alias("n_purged"),
+        F.col(f"embargoed{i}").alias("n_embargoed"), F.col(f"last{i}").alias("last_train"), F.col(f"first{i}").alias("first_val"),
+        F.date_diff(f"first{i}", f"last{i}").alias("gap_days"),
+    )
+    return one.select(F.inline(F.array(*[row(i, f) for i, f in enumerate(folds)])))
+
+
+def require_whole_folds(facts: DataFrame) -> None:
+    """Raises if purge and embargo have left a fold without train or validation rows; the facts are a row per fold."""
+    if empty := [r["fold"] for r in facts.where("n_train = 0 or n_val = 0").select("fold").collect()]:
+        raise ValueError(f"folds {sorted(empty)} are empty after purge and embargo; fewer folds or a shorter embargo are needed")
+
+
+def assign_folds(
+    df: DataFrame, folds: list[Fold], column: str, group: str | None = None, embargo: int = 0, date_col: str | None = None
+) -> DataFrame:
+    """One copy of a row per fold it belongs to, with `fold` and `role` (train / val).
+
+    Group purge and day embargo are decided on masks, before any row is copied.
+    """
+    masked = fold_masks(df, folds, column, group, embargo, date_col)
+    spec = F.array(*[F.struct(F.lit(f.fold).alias("fold"), F.lit(role).alias("role"), F.lit(1 << i).cast("long").alias("bit")) for i, f in enumerate(folds) for role in ("train", "val")])
+    hits = F.filter(spec, lambda s: F.when(s["role"] == "val", F.col("val_folds")).otherwise(F.col("train_folds")).bitwiseAND(s["bit"]) > 0)
+    return masked.withColumn("_f", F.explode(hits)).select(*df.columns, "_f.fold", "_f.role")
 
 
 def preview_labels(df: DataFrame, week: str, test_weeks: int, val_weeks: int, walk: bool = True) -> DataFrame:

@@ -8,6 +8,8 @@ each job's plan small and survives lost executors.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -170,15 +172,18 @@ def _chain_drops(usable: DataFrame, scaled: DataFrame, chains: DataFrame, kept:
 
 
 def probabilities_at_strikes(
-    quotes: DataFrame, chains: DataFrame, strikes: DataFrame, chain: list[str], tiebreak: list[str], rules: C.CurveRules = C.CurveRules()
+    quotes: DataFrame, chains: DataFrame, strikes: DataFrame, chain: list[str], tiebreak: list[str], on: Sequence[str] = ("ticker", "asof_date"), rules: C.CurveRules = C.CurveRules()
 ) -> DataFrame:
-    """Benchmark probability at requested strikes (ticker, strike) that lie inside the quoted range."""
+    """Benchmark probability at requested strikes (`on`..., strike) that lie inside the quoted range of a chain.
+
+    Requests meet the chains of their own `on` columns, some of `chain`: a row per request and chain of that ticker and date.
+    """
     rows = quotes.join(chains, [c for c in chain if c in quotes.columns])
     curve = C.call_curve(C.strike_table(rows, chain, tiebreak, rules), chain, rules)
     knots = C.isotonic_knots(C.interval_probability(curve, chain), chain)
     span = curve.groupBy(*chain).agg(F.min("strike").alias("_lo"), F.max("strike").alias("_hi"))
-    wanted = strikes.select("ticker", F.round("strike", 2).alias("strike")).distinct()
-    inside = span.join(wanted, "ticker").where(F.col("strike").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    wanted = strikes.select(*on, F.round("strike", 2).alias("strike")).distinct()
+    inside = span.join(wanted, list(on)).where(F.col("strike").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     out = C.interpolate(knots, inside, chain, "k_mid", ["p_isotonic"])
     return out.withColumnRenamed("p_isotonic", "pRN")
 

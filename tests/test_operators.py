@@ -415,3 +415,40 @@ def test_empty_raw_probability_column_counts_as_missing(spark):
     df = frame(spark, [(0.4, None, 100.0, 100.0, 2.0, D(2024, 1, 2), D(2024, 1, 5))], "pRN double, pRN_raw double, K double, S double, T_days double, snapshot_time_utc timestamp, event_endDate timestamp")
     r = features.enrich_snapshot(df).first()
     assert r["pRN_raw"] == 0.4 and r["rv20"] == 0.3 and r["asof_date"] == dt.date(2024, 1, 1)
+
+
+def test_fold_masks_and_facts(spark):
+    rng = np.random.default_rng(2)
+    day = lambda i: dt.date(2024, 1, 5) + dt.timedelta(days=int(i))
+    folds = [splits.Fold(k + 1, day(0), day(40 + 10 * k), day(41 + 10 * k), day(50 + 10 * k)) for k in range(3)]
+    rows = [(day(a - a % 7), day(a) if i % 40 else None, f"g{rng.integers(300)}" if i % 9 else None, i) for i, a in enumerate(rng.integers(0, 80, 600))]
+    df = frame(spark, rows, "week date, day date, g string, i int")
+    masked = splits.fold_masks(df, folds, "week", "g", 4, "day")
+    got = {r["i"]: r for r in masked.collect()}
+    facts = {r["fold"]: r for r in splits.fold_facts(masked, folds, "day").collect()}
+    kept = {(r["i"], r["fold"], r["role"]) for r in splits.assign_folds(df, folds, "week", "g", 4, "day").collect()}
+    want = set()
+    for k, f in enumerate(folds):
+        val = [r for r in rows if f.val_lo <= r[0] <= f.val_hi]
+        first = min(r[1] for r in val if r[1])
+        groups = {r[2] for r in val if r[2]}
+        train = [r for r in rows if f.train_lo <= r[0] <= f.train_hi]
+        purged = [r for r in train if r[2] in groups]
+        late = [r for r in train if r[2] not in groups and not (r[1] and r[1] < first - dt.timedelta(days=4))]
+        rest = [r for r in train if r not in purged and r not in late]
+        want |= {(r[3], f.fold, "val") for r in val} | {(r[3], f.fold, "train") for r in rest}
+        assert all(got[r[3]]["purged_folds"] >> k & 1 for r in purged) and all(got[r[3]]["embargoed_folds"] >> k & 1 for r in late)
+        x = facts[f.fold]
+        assert (x["n_train"], x["n_val"], x["n_purged"], x["n_embargoed"]) == (len(rest), len(val), len(purged), len(late))
+        assert (x["first_val"], x["gap_days"]) == (first, (first - max(r[1] for r in rest)).days)
+    assert kept == want
+
+
+def test_an_emptied_fold_is_an_error(spark):
+    week = lambda k: dt.date(2024, 1, 5) + dt.timedelta(weeks=k)
+    df = frame(spark, [(week(k), week(k), "same") for k in range(4)], "week date, day date, g string")
+    fold = splits.Fold(1, week(0), week(1), week(2), week(3))
+    splits.require_whole_folds(splits.fold_facts(splits.fold_masks(df, [fold], "week"), [fold], "day"))
+    for options in ({"group": "g"}, {"embargo": 90, "date_col": "day"}):
+        with pytest.raises(ValueError, match="empty after"):
+            splits.require_whole_folds(splits.fold_facts(splits.fold_masks(df, [fold], "week", **options), [fold], "day"))
