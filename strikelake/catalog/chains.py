@@ -222,8 +222,7 @@ def spot_scale_choice(spark, d):
 @register(
     "snapshot_bracket_probability",
     *CURVE,
-    """tg AS (SELECT DISTINCT ticker, asof_date, strike + 0.5::DOUBLE AS K, CASE WHEN ticker % 2 = 0 THEN 0.35::DOUBLE END AS sig FROM used
-  WHERE CAST(strike AS INT) % 9 = 0)""",
+    """tg AS (SELECT DISTINCT ticker, asof_date, strike + 0.5::DOUBLE AS K, CASE WHEN ticker % 2 = 0 THEN 0.35::DOUBLE END AS sig FROM used)""",
     """e AS (SELECT t.*, list(s.strike ORDER BY s.strike) AS ks, list(s.cs ORDER BY s.strike) AS cs, CAST(count_if(s.strike < t.K) AS INT) AS i
   FROM tg t JOIN smooth s ON s.ticker = t.ticker AND s.asof_date = t.asof_date GROUP BY ALL)""",
     "f AS (SELECT *, greatest(i - 2, 0) + 1 AS a, least(i + 1, len(ks) - 1) + 1 AS b FROM e)",
@@ -243,7 +242,7 @@ def spot_scale_choice(spark, d):
 def snapshot_bracket_probability(spark, d):
     c = curve(spark, d)
     t = strikes(spark, d)
-    kept = C.call_curve(t, CHAIN, C.rules_with(min_curve_strikes=1)).where(F.col("strike").cast("int") % 9 == 0)
+    kept = C.call_curve(t, CHAIN, C.rules_with(min_curve_strikes=1))
     targets = kept.select(
         *CHAIN, (F.col("strike") + 0.5).alias("K"), F.when(F.col("ticker") % 2 == 0, 0.35).alias("atm_sigma"),
         F.lit(100.0).alias("spot"), F.lit(T_YEARS).alias("t_years"), F.lit(RATE).alias("rate"),

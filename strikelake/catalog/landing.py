@@ -155,13 +155,15 @@ def flattened_price_payload(spark, d):
 @register(
     "weekly_markets_from_events",
     TITLES,
-    """m AS (SELECT *, market_id // 4 AS ev, CAST(DATE '2024-01-01' + CAST(market_id % 60 AS INT) AS DATE) AS ed, concat('T', CAST(market_id % 10 AS VARCHAR)) AS tk FROM titles
-   WHERE market_id % 5 IN (3, 4) AND market_id % 10 <> 9)""",
-    sql="""SELECT market_id, ev AS event_id, tk AS ticker, CAST(regexp_extract(question, '\\$([0-9]+)', 1) AS DOUBLE) AS threshold, ed AS event_end_date,
-  CAST(ed - CAST(isodow(ed) - 1 AS INT) + 4 AS DATE) AS week_friday, CASE WHEN market_id % 6 <> 0 THEN concat('n', CAST(market_id AS VARCHAR)) END AS no_token FROM m""",
+    """m AS (SELECT *, market_id // 4 AS ev, CAST(DATE '2024-01-01' + CAST(market_id % 60 AS INT) AS DATE) AS ed,
+   upper(coalesce(nullif(regexp_extract(question, 'Will (T[0-9]+) finish', 1), ''), regexp_extract(slug, '^(t[0-9]+)-above', 1))) AS tk,
+   TRY_CAST(replace(regexp_extract(question, 'above [$]?([0-9,]+([.][0-9]+)?)', 1), ',', '') AS DOUBLE) AS threshold FROM titles)""",
+    sql="""SELECT market_id, ev AS event_id, tk AS ticker, threshold, ed AS event_end_date,
+  CAST(ed - CAST(isodow(ed) - 1 AS INT) + 4 AS DATE) AS week_friday, CASE WHEN market_id % 6 <> 0 THEN concat('n', CAST(market_id AS VARCHAR)) END AS no_token FROM m
+  WHERE threshold IS NOT NULL AND regexp_full_match(tk, 'T[0-8]')""",
 )
 def weekly_markets_from_events(spark, d):
-    t = titles(spark, d).where(F.col("market_id") % 5 > 2)
+    t = titles(spark, d)
     key = F.col("market_id")
     m = F.struct(
         key.cast("string").alias("id"), "question", "slug", F.col("condition_id").alias("conditionId"), F.col("token_ids").alias("clobTokenIds"),

@@ -137,10 +137,10 @@ def trailing_dividend_yield(spark, d):
 @register(
     "spot_asof_cascade",
     TICKS,
-    """mins AS (SELECT ticker, timestamp_utc AS ts, max_by(price, event_id) AS px FROM ticks
-  WHERE event_type = 'click' AND ticker IN ('T0','T1','T2','T3') GROUP BY 1, 2)""",
-    """daily AS (SELECT ticker, CAST(timestamp_utc - INTERVAL 5 HOUR AS DATE) AS date, max_by(price, (timestamp_utc, event_id)) AS close
-  FROM ticks WHERE event_type = 'view' AND ticker <> 'T9' GROUP BY 1, 2)""",
+    """mins AS (SELECT ticker, timestamp_utc - CASE WHEN ticker > 'T3' THEN INTERVAL 3650 DAY ELSE INTERVAL 0 DAY END AS ts, max_by(price, event_id) AS px FROM ticks
+  WHERE event_type = 'click' GROUP BY 1, 2)""",
+    """daily AS (SELECT ticker, CAST(timestamp_utc - INTERVAL 5 HOUR AS DATE) + CASE WHEN ticker = 'T9' THEN 3650 ELSE 0 END AS date, max_by(price, (timestamp_utc, event_id)) AS close
+  FROM ticks WHERE event_type = 'view' GROUP BY 1, 2)""",
     """qs AS (SELECT event_id, ticker, timestamp_utc AS ts, CAST(timestamp_utc - INTERVAL 5 HOUR AS DATE) AS ld FROM ticks WHERE event_type = 'purchase')""",
     """i AS (SELECT q.*, m.ts AS mts, m.px FROM qs q ASOF LEFT JOIN mins m ON q.ticker = m.ticker AND q.ts >= m.ts)""",
     """j AS (SELECT event_id, ticker, ts, ld, CASE WHEN epoch_us(ts) - epoch_us(mts) <= 432000000000 THEN px END AS px,
@@ -152,12 +152,14 @@ def trailing_dividend_yield(spark, d):
 )
 def spot_asof_cascade(spark, d):
     t = ticks(spark, d)
-    minutes = t.where((F.col("event_type") == "click") & F.col("ticker").isin("T0", "T1", "T2", "T3")).select(
-        "ticker", F.col("timestamp_utc").alias("minute_ts"), F.col("price").alias("minute_px"), F.col("event_id").alias("minute_tie")
+    # Minutes of tickers after T3 are stale by ten years, closes of T9 lie ten years ahead: the later steps of the cascade.
+    stale = F.when(F.col("ticker") > "T3", F.col("timestamp_utc") - F.expr("INTERVAL 3650 DAYS")).otherwise(F.col("timestamp_utc"))
+    minutes = t.where(F.col("event_type") == "click").select(
+        "ticker", stale.alias("minute_ts"), F.col("price").alias("minute_px"), F.col("event_id").alias("minute_tie")
     )
     daily = (
-        t.where((F.col("event_type") == "view") & (F.col("ticker") != "T9"))
-        .groupBy("ticker", F.to_date(F.from_utc_timestamp("timestamp_utc", "America/New_York")).alias("date"))
+        t.where(F.col("event_type") == "view")
+        .groupBy("ticker", F.date_add(F.to_date(F.from_utc_timestamp("timestamp_utc", "America/New_York")), F.when(F.col("ticker") == "T9", 3650).otherwise(0)).alias("date"))
         .agg(F.max_by("price", F.struct("timestamp_utc", "event_id")).alias("close"))
     )
     q = t.where(F.col("event_type") == "purchase").select("event_id", "ticker", F.col("timestamp_utc").alias("ts"))
@@ -263,17 +265,17 @@ def market_benchmark_merge(spark, d):
     TICKS,
     DIM_MARKET,
     sql="""SELECT event_id FROM ticks WHERE ticker IN (SELECT ticker FROM dim_market WHERE expiry_date = DATE '2024-01-12')
-   AND threshold IN (SELECT threshold FROM dim_market WHERE market_id % 4 = 1)
-   AND CAST(timestamp_utc AS DATE) IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'error' AND user_id < 20)""",
+   AND threshold IN (SELECT threshold FROM dim_market WHERE expiry_date > DATE '2024-01-19')
+   AND CAST(timestamp_utc AS DATE) IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'error' AND value > 300)""",
 )
 def restricted_scan(spark, d):
     t = ticks(spark, d).withColumn("day", F.to_date("timestamp_utc"))
     m = dim_market(spark, d)
-    days = load(spark, d, "events").where((F.col("event_type") == "error") & (F.col("user_id") < 20)).select(F.to_date("ts"))
+    days = load(spark, d, "events").where((F.col("event_type") == "error") & (F.col("value") > 300)).select(F.to_date("ts"))
     return R.restrict_to(
         t,
         ticker=m.where(F.col("expiry_date") == F.lit("2024-01-12")).select("ticker"),
-        threshold=m.where(F.col("market_id") % 4 == 1).select("threshold"),
+        threshold=m.where(F.col("expiry_date") > F.lit("2024-01-19")).select("threshold"),
         day=days,
     ).select("event_id")
 
@@ -282,12 +284,10 @@ def restricted_scan(spark, d):
     "common_dates",
     LABELLED,
     CLOSES,
-    sql="SELECT asof_date FROM labelled WHERE ticker % 2 = 0 INTERSECT SELECT date AS asof_date FROM closes WHERE ticker < 3",
+    sql="SELECT asof_date FROM labelled INTERSECT SELECT date AS asof_date FROM closes",
 )
 def common_dates(spark, d):
-    a = labelled(spark, d).where(F.col("ticker") % 2 == 0)
-    b = closes(spark, d).where(F.col("ticker") < 3).withColumnRenamed("date", "asof_date")
-    return R.common_values(a, b, "asof_date")
+    return R.common_values(labelled(spark, d), closes(spark, d).withColumnRenamed("date", "asof_date"), "asof_date")
 
 
 @register(
