@@ -12,6 +12,7 @@ from strikelake.plans import decision_features as DF, market_refresh as MR
 from strikelake.session import scratch_path
 from strikelake.sources.tables import DIM_MARKET, TICKS, dim_market, load, ticks
 from strikelake.streaming import ticks as ST
+from strikelake.streaming.state import KeyedTable, newer_only_sink, newest_sink
 
 # Daily benchmark rows per contract, made at 21:00 UTC (16:00 in New York in January).
 BENCH = """bench AS (SELECT DISTINCT d.ticker, d.threshold, d.expiry_date, CAST(e.ts AS DATE) AS snapshot_date, CAST(CAST(e.ts AS DATE) AS TIMESTAMP) + INTERVAL 21 HOUR AS asof_time,
@@ -140,8 +141,9 @@ def tick_stream(spark, d):
 )
 def stream_hourly_bars(spark, d):
     path, ck = scratch_path(spark, "stream"), scratch_path(spark, "ck")
-    ST.run_available(ST.bars(tick_stream(spark, d)), ST.version_sink(path), ck)
-    out = ST.current_rows(spark, path, ["market_id", "timestamp_utc"])
+    rows, table = ST.bars(tick_stream(spark, d)), KeyedTable(path, ("market_id", "timestamp_utc"), 16)
+    ST.run_available(rows, newest_sink(table), ck)
+    out = table.read(spark, rows.schema)
     return out.select("market_id", F.unix_micros("timestamp_utc").alias("timestamp_utc"), "open", "high", "low", "close")
 
 
@@ -181,7 +183,8 @@ def stream_benchmark_enrichment(spark, d):
 def stream_append_newer(spark, d):
     path, ck = scratch_path(spark, "stream"), scratch_path(spark, "ck")
     seed = ticks(spark, d).where(F.col("event_id") % 4 == 0).select("market_id", "timestamp_utc")
-    ST.run_available(tick_stream(spark, d), ST.newer_only_sink(path, ["market_id"], seed=seed), ck, "append")
+    marks = KeyedTable(scratch_path(spark, "marks"), ("market_id",), 16)
+    ST.run_available(tick_stream(spark, d), newer_only_sink(path, marks, seed=seed), ck, "append")
     return spark.read.parquet(path).select("event_id")
 
 
@@ -193,8 +196,9 @@ def stream_append_newer(spark, d):
 def stream_snapshot_upsert(spark, d):
     path, ck = scratch_path(spark, "stream"), scratch_path(spark, "ck")
     rows = tick_stream(spark, d).select("market_id", F.to_date("timestamp_utc").alias("day"), "event_id", "price")
-    ST.run_available(rows, ST.version_sink(path), ck, "append")
-    return ST.current_rows(spark, path, ["market_id", "day"], ["event_id"])
+    table = KeyedTable(path, ("market_id", "day"), 16)
+    ST.run_available(rows, newest_sink(table, ["event_id"]), ck, "append")
+    return table.read(spark, rows.schema)
 
 
 @register(

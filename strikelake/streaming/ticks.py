@@ -10,7 +10,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from strikelake.operators.bars import newer_than_stored
 from strikelake.operators.skew import pick_row
 from strikelake.session import configure
 
@@ -65,16 +64,16 @@ def enrich(ticks: DataFrame, intervals: DataFrame, keys: Sequence[str], values:
     return joined.select(*[dated[c] for c in ticks.columns], right["valid_from"].alias("asof_time"), *[right[v] for v in values])
 
 
-def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
+def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", partitions: int | None = None) -> None:
     """Process what is there and stop (the scheduled form of the job).
 
-    The number of state stores is fixed by a stream's first run, so it is set to the cores at hand
-    instead of a default meant for batch shuffles.
+    The number of state stores is fixed by a stream's first run: `partitions`, or the cores at hand instead of a default
+    meant for batch shuffles.
     """
     spark = df.sparkSession
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    spark.conf.set(name, str(partitions or spark.sparkContext.defaultParallelism))
     try:
         query = (
             df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
@@ -91,23 +90,6 @@ def version_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def newer_only_sink(path: str, keys: Sequence[str], ts: str = "timestamp_utc", seed: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """Appends only rows later than what earlier batches (and the seed table) stored for their key."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = None
-        if batch_id > 0:
-            stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id).select(*keys, ts)
-        if seed is not None:
-            base = seed.select(*keys, ts)
-            stored = base if stored is None else stored.unionByName(base)
-        fresh = batch if stored is None else newer_than_stored(batch, stored, keys, ts)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return write
-
-
 def current_rows(spark: SparkSession, path: str, keys: Sequence[str], tiebreak: Sequence[str] = ()) -> DataFrame:
     """Newest version of every key over all batches."""
     rows = spark.read.parquet(path)
