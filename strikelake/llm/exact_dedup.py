@@ -37,37 +37,43 @@ def hot_texts(docs: DataFrame, text_col: str) -> list[int]:
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``xd_keep_id``, ``xd_group_size``, ``xd_kept`` and ``xd_sha256``."""
-    id_ = F.col(f"`{id_col}`")
+    """The rows of ``docs`` with ``xd_keep_id``, ``xd_group_size``, ``xd_kept`` and ``xd_sha256``.
+
+    Rows travel in a struct, so that their own names meet no name used inside. The one exchange is that by sampled splitters: the
+    window's keys hold its keys.
+    """
     hot = hot_texts(docs, text_col)
-    salt = F.when(F.col("xd_hash").isin(hot), F.pmod(F.hash(id_), F.lit(max(16, shuffle_partitions(docs.sparkSession))))) if hot else F.lit(None)
-    keyed = (
-        docs.withColumn("xd_hash", F.xxhash64(_normal(text_col)))
-        .withColumn("xd_prefix", F.substring(_normal(text_col).cast("binary"), 1, 16))
-        .withColumn("xd_salt", F.coalesce(salt.cast("int"), F.lit(-1)))
-    )
-    ranged = keyed.repartitionByRange("xd_prefix", "xd_hash", "xd_salt").withColumn("xd_norm", _normal(text_col))
-    near = Window.partitionBy("xd_prefix", "xd_hash", "xd_salt", "xd_norm").orderBy(id_.desc_nulls_last())
+    norm = _normal(text_col)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.substring(norm.cast("binary"), 1, 16).alias("prefix"), F.xxhash64(norm).alias("hash"))
+    keys = ["prefix", "hash"]
+    if hot:
+        spread = F.pmod(F.hash("id"), F.lit(max(16, shuffle_partitions(docs.sparkSession))))
+        keyed, keys = keyed.withColumn("salt", F.when(F.col("hash").isin(hot), spread).otherwise(F.lit(-1))), [*keys, "salt"]
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    ranged = keyed.repartitionByRange(*keys).withColumn("norm", ascii_lower(text))
+    near = Window.partitionBy(*keys, "norm").orderBy(F.col("id").desc_nulls_last())
     whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = ranged.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.max(id_).over(whole).alias("xd_keep_id"),
-        F.count(F.lit(1)).over(whole).alias("xd_group_size"),
-        F.row_number().over(near).alias("xd_rank"),
-        F.sha2(F.col("xd_norm"), 256).alias("xd_sha256"),
+        "row",
+        "id",
+        F.max("id").over(whole).alias("keep"),
+        F.count(F.lit(1)).over(whole).alias("size"),
+        F.row_number().over(near).alias("rank"),
+        F.sha2(F.col("norm"), 256).alias("sha256"),
     )
     if hot:
         totals = (
-            docs.select(id_.alias("id"), _normal(text_col).alias("norm"))
-            .filter(F.xxhash64("norm").isin(hot))
-            .groupBy(F.sha2("norm", 256).alias("xd_sha256"))
-            .agg(F.max("id").alias("xd_all_keep"), F.count(F.lit(1)).alias("xd_all_size"))
+            docs.select(F.col(f"`{id_col}`").alias("all_id"), norm.alias("all_norm"))
+            .filter(F.xxhash64("all_norm").isin(hot))
+            .groupBy(F.sha2("all_norm", 256).alias("sha256"))
+            .agg(F.max("all_id").alias("all_keep"), F.count(F.lit(1)).alias("all_size"))
         )
-        runs = runs.join(F.broadcast(totals), "xd_sha256", "left")  # one row per hot text
-        runs = runs.withColumn("xd_keep_id", F.when(F.col("xd_all_size").isNull(), F.col("xd_keep_id")).otherwise(F.col("xd_all_keep")))
-        runs = runs.withColumn("xd_group_size", F.coalesce("xd_all_size", "xd_group_size"))
-    kept = (F.col("xd_rank") == 1) & id_.eqNullSafe(F.col("xd_keep_id"))
-    return runs.select(*[F.col(f"`{c}`") for c in docs.columns], "xd_keep_id", "xd_group_size", kept.alias("xd_kept"), "xd_sha256")
+        runs = runs.join(F.broadcast(totals), "sha256", "left")  # one row per hot text
+        runs = runs.withColumn("keep", F.when(F.col("all_size").isNull(), F.col("keep")).otherwise(F.col("all_keep")))
+        runs = runs.withColumn("size", F.coalesce("all_size", "size"))
+    kept = (F.col("rank") == 1) & F.col("id").eqNullSafe(F.col("keep"))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return runs.select(*own, F.col("keep").alias("xd_keep_id"), F.col("size").alias("xd_group_size"), kept.alias("xd_kept"), F.col("sha256").alias("xd_sha256"))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
