@@ -186,6 +186,10 @@ def parse(content: bytes) -> dict:
     return {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to"), "payload": payload, "payload_bytes": size, "payload_digest": digest}
 
 
+#: Tasks that read an archive at most; beyond it a task reads several ranges.
+MOST_TASKS = 100_000
+
+
 def read(spark: SparkSession, path: str, size: int = 8 << 20) -> DataFrame:
     """One row per record of the archives under ``path``."""
     names = [part.split(" ")[0] for part in READ_SCHEMA.split(", ")]
@@ -203,8 +207,9 @@ def read(spark: SparkSession, path: str, size: int = 8 << 20) -> DataFrame:
                 if rows:
                     yield _batch(rows, names)
 
-    ranges = byte_ranges(spark, path, size).repartition("path", "start")
-    return ranges.mapInArrow(run, READ_SCHEMA)
+    # A number that is given isn't lowered by the adaptive plan, which would see a few small rows.
+    ranges = byte_ranges(spark, path, size)
+    return ranges.repartitionByRange(max(1, min(ranges.count(), MOST_TASKS)), "path", "start").mapInArrow(run, READ_SCHEMA)
 
 
 _KINDS = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64(), "start": pa.int64()}
