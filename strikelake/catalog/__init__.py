@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("landing", "scalars", "relations", "timeseries", "chains", "validation", "scoring", "refresh", "training")
+_MODULES = ("landing", "scalars", "relations", "timeseries", "chains", "validation", "scoring", "refresh", "training", "search")
 
 
 def register(name: str, *ctes: str, sql: str | None = None) -> Callable[[Query], Query]:

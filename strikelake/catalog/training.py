@@ -465,42 +465,6 @@ def offset_logistic_fit(spark, d):
     return x.select("y", eta.alias("eta")).groupBy("y").agg(F.count("*").alias("n"), F.avg("eta").alias("eta"))
 
 
-@register("c_search_over_folds")
-def c_search_over_folds(spark, d):
-    """Rows-only: C by the one-standard-error rule over walk-forward folds (cached fold data, one fit per job)."""
-    from strikelake.functions.calendar import next_friday
-    from strikelake.operators import splits as P
-
-    x = labelled(spark, d).withColumn("week", next_friday(F.col("asof_date")))
-    folds = P.walk_forward(P.week_list(x, "week"), 2, 30, 60, expanding=False)
-    rows = P.assign_folds(x, folds, "week", "group_id").cache()
-    parts = [
-        (f.fold, rows.where((F.col("fold") == f.fold) & (F.col("role") == "train")), rows.where((F.col("fold") == f.fold) & (F.col("role") == "val")))
-        for f in folds
-    ]
-    scores = L.scores_table(spark, L.c_scores(parts, [0.01, 1.0], ["w", "tax", "discount"]))
-    rows.unpersist()
-    return L.one_standard_error(scores)
-
-
-@register("outer_fold_trial_search")
-def outer_fold_trial_search(spark, d):
-    """Rows-only: two trials over two outer folds, their statistics and gates."""
-    from strikelake.functions.calendar import next_friday
-    from strikelake.models.search import run_trials
-    from strikelake.operators import splits as P
-
-    x = labelled(spark, d).withColumn("week", next_friday(F.col("asof_date")))
-    folds = P.outer_folds(P.week_list(x, "week"), 20, 2, 10, 2)
-    trials_ = [
-        {"trial_id": 1, "features": ["discount"], "C": 1.0, "calibration": "none"},
-        {"trial_id": 2, "features": ["discount", "tax", "w"], "C": 0.1, "calibration": "none"},
-    ]
-    deltas = run_trials(spark, x, trials_, folds, "week", y="y", baseline="p_base")
-    stats = Q.fold_statistics(deltas, delta="delta").withColumn("score", F.col("median_delta"))
-    return S.acceptance(stats).select("trial_id", "n_folds", "score", "folds_improved", "worst_delta", F.size("rejected_because").alias("gates_failed"))
-
-
 @register("snapshot_probability_table")
 def snapshot_probability_table(spark, d):
     """Rows-only: the whole snapshot path; its steps have oracles of their own."""

@@ -25,6 +25,7 @@ from strikelake.session import materialize
 
 OBJECTIVES = ("logloss", "brier")
 PLATT_C = 1e6
+ROWS_PER_TASK = 500_000
 
 # The default search grid.
 DEFAULT_FEATURE_SETS = (
@@ -87,7 +88,9 @@ def search_rows(
     level has no block, a NULL feature is imputed by the medians of the part. A fold emptied by purge or embargo raises.
     """
     masked = fold_masks(df.where(F.col(y).isNotNull() & F.col(baseline).isNotNull()), list(folds), week, group, embargo)
-    require_whole_folds(fold_facts(masked, list(folds), week))
+    facts = fold_facts(masked, list(folds), week)
+    known = facts.collect()  # a row per fold
+    require_whole_folds(df.sparkSession.createDataFrame(known, facts.schema))
     n = len(folds)
     held = [F.when(F.col("train_folds").bitwiseAND(F.lit(1 << i)) > 0, F.when(F.col(week) >= F.lit(start), F.lit(1 << i))) for i, start in enumerate(_held_weeks(masked, folds, week)) if start]
     held_bits = functools.reduce(lambda a, b: a.bitwiseOR(b), [F.coalesce(h, F.lit(0)) for h in held], F.lit(0)).cast("long")
@@ -102,7 +105,9 @@ def search_rows(
     rows = rows.withColumn("_parts", F.col("train_folds").bitwiseOR(F.shiftleft(fit, n)))
     rows = rows.join(levels, "level", "left") if levels is not None else rows.withColumn("_lv", F.lit(None).cast("int"))
     out = rows.withColumn("_lv", F.coalesce("_lv", F.lit(-1))).drop("level", "train_folds")
-    return materialize(out, "search_rows")
+    # A pass costs far more per byte than a scan: the table is dealt by rows to all cores, not packed by bytes.
+    most = max(r["n_train"] + r["n_val"] for r in known)
+    return materialize(out.repartition(max(df.sparkSession.sparkContext.defaultParallelism, most // ROWS_PER_TASK)), "search_rows")
 
 
 def _part(i: int, column: str = "_parts") -> Column:
