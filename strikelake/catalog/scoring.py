@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strikelake.catalog import register
 from strikelake.functions import calendar
 from strikelake.functions.scalar import round_half_up as r
-from strikelake.operators import metrics as M, splits as P, weights as Wt
+from strikelake.operators import bootstrap as B, metrics as M, splits as P, weights as Wt
 from strikelake.operators.percentiles import exact_percentiles
 from strikelake.operators.skew import with_scalars
 from strikelake.sources.tables import LABELLED, labelled
@@ -448,7 +448,7 @@ def split_metrics(spark, d):
     LABELLED,
     "lu AS (SELECT *, strftime(asof_date, '%Y-%m-%d') AS u FROM labelled)",
     "ix AS (SELECT u, row_number() OVER (ORDER BY md5(u), u) - 1 AS i, count(*) OVER () AS g FROM (SELECT DISTINCT u FROM lu))",
-    "reps AS (SELECT unnest(range(0, 12)) AS rep)",
+    "reps AS (SELECT unnest(range(0, 200)) AS rep)",
     "dr AS (SELECT rep, CAST(('0x' || substr(md5(concat('7|', CAST(rep AS VARCHAR), '|', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) * g // 4294967296 AS i FROM ix, reps)",
     "mu AS (SELECT rep, i, count(*) AS m FROM dr GROUP BY 1, 2)",
     "cp AS (SELECT rep, u, m FROM mu JOIN ix USING (i))",
@@ -467,14 +467,23 @@ def split_metrics(spark, d):
         for c, n in (("dl", "delta_logloss"), ("db", "delta_brier"), ("de", "delta_ece"), ("dq", "delta_ece_q"))
         for t, q in (("lo", 0.025), ("hi", 0.975))
     )
-    + ", count(*) AS bootstrap_b FROM ls JOIN cal USING (rep)",
+    + ", count(*) AS bootstrap_b, (SELECT max(g) FROM ix) AS bootstrap_n_groups FROM ls JOIN cal USING (rep)",
 )
 def bootstrap_metric_intervals(spark, d):
     x = labelled(spark, d)
     unit, _ = M.bootstrap_group(x, "day")
-    deltas = M.bootstrap_deltas(x.withColumn("_unit", unit), "_unit", "y", "p_model", "p_base", tie(), replicates=12)
+    deltas = B.bootstrap_deltas(x.withColumn("_unit", unit), "_unit", "y", "p_model", "p_base", tie(), replicates=200)
     out = M.bootstrap_intervals(deltas)
-    return out.select(*[r(F.col(c), 6).alias(c) for c in out.columns if c.startswith("delta_")], "bootstrap_b")
+    return out.select(*[r(F.col(c), 6).alias(c) for c in out.columns if c.startswith("delta_")], "bootstrap_b", "bootstrap_n_groups")
+
+
+@register("bootstrap_row_intervals")
+def bootstrap_row_intervals(spark, d):
+    """No SQL (64-bit generator): every row is its own unit, with Poisson counts; tested against weighted rows in numpy."""
+    x = labelled(spark, d)
+    deltas = B.bootstrap_deltas(x.withColumn("_unit", tie()), "_unit", "y", "p_model", "p_base", tie(), replicates=200, resampling="poisson")
+    out = M.bootstrap_intervals(deltas)
+    return out.select(*[r(F.col(c), 6).alias(c) for c in out.columns if c.startswith("delta_")], "bootstrap_b", "bootstrap_n_groups")
 
 
 @register(

@@ -55,7 +55,7 @@ def width_bin(p: Column, n_bins: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= q))
 
 
-def _error_from_bins(bins: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+def error_from_bins(bins: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """bins(by..., _c, _sp, _sy) -> sum over bins of share * |mean p - mean y|."""
     term = F.abs(F.col("_sp") - F.col("_sy"))
     return bins.groupBy(*by).agg((F.sum(term) / F.sum("_c")).alias(name))
@@ -66,7 +66,7 @@ def ece(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p", n_bins: in
     bins = df.groupBy(*by, width_bin(F.col(p), n_bins).alias("_bin")).agg(
         F.count("*").alias("_c"), F.sum(q).alias("_sp"), F.sum(F.col(y).cast("double")).alias("_sy")
     )
-    return _error_from_bins(bins, by, "ece")
+    return error_from_bins(bins, by, "ece")
 
 
 def equal_mass_bins(
@@ -173,8 +173,8 @@ def ece_equal_mass(
     df: DataFrame, by: Sequence[str], y: str, p: str, tie: Column, n_bins: int = 10, copies: DataFrame | None = None, unit: str | None = None, weight: str | None = None
 ) -> DataFrame:
     if weight is not None:
-        return _error_from_bins(weighted_mass_bins(df, by, y, p, weight, tie, n_bins), by, "ece_q")
-    return _error_from_bins(equal_mass_bins(df, by, y, p, tie, n_bins, copies, unit), by, "ece_q")
+        return error_from_bins(weighted_mass_bins(df, by, y, p, weight, tie, n_bins), by, "ece_q")
+    return error_from_bins(equal_mass_bins(df, by, y, p, tie, n_bins, copies, unit), by, "ece_q")
 
 
 # --- baseline against model -----------------------------------------------------------------------
@@ -262,51 +262,11 @@ def bootstrap_copies(units: DataFrame, unit: str, replicates: int, seed: int = 7
     return m.join(index, "_i").select(unit, "rep", "m")
 
 
-def bootstrap_deltas(
-    df: DataFrame, unit: str, y: str, model: str, baseline: str, tie: Column, replicates: int, seed: int = 7, n_bins: int = 10, eceq_bins: int = 10
-) -> DataFrame:
-    """Per replicate: model minus baseline for log loss, Brier, ECE and equal-mass ECE.
-
-    Losses and equal-width bins are summed per unit before meeting the replicates.
-    """
-    rows = df.withColumn("_t", tie)
-    copies = bootstrap_copies(rows.select(unit), unit, replicates, seed)
-    yy = F.col(y)
-    q = lambda c: clip(F.col(c), EPS, 1.0 - EPS)
-    per_unit = rows.groupBy(unit).agg(
-        F.count("*").alias("n"),
-        F.sum(loss_log(yy, F.col(model)) - loss_log(yy, F.col(baseline))).alias("dl"),
-        F.sum(loss_squared(yy, F.col(model)) - loss_squared(yy, F.col(baseline))).alias("db"),
-    )
-    m = F.col("m")
-    losses = per_unit.join(copies, unit).groupBy("rep").agg(
-        (F.sum(F.col("dl") * m) / F.sum(F.col("n") * m)).alias("delta_logloss"),
-        (F.sum(F.col("db") * m) / F.sum(F.col("n") * m)).alias("delta_brier"),
-    )
-    both = F.array(
-        F.struct(F.lit("b").alias("model"), F.col(baseline).alias("p")), F.struct(F.lit("m").alias("model"), F.col(model).alias("p"))
-    )
-    tall = rows.select(unit, yy.alias("_yy"), "_t", F.inline(both))
-    wide = tall.groupBy(unit, "model", width_bin(F.col("p"), n_bins).alias("_bin")).agg(
-        F.count("*").alias("c"), F.sum(q("p")).alias("sp"), F.sum(F.col("_yy").cast("double")).alias("sy")
-    )
-    bins = wide.join(copies, unit).groupBy("rep", "model", "_bin").agg(
-        F.sum(F.col("c") * m).alias("_c"), F.sum(F.col("sp") * m).alias("_sp"), F.sum(F.col("sy") * m).alias("_sy")
-    )
-    flat = _error_from_bins(bins, ["rep", "model"], "ece")
-    mass = ece_equal_mass(tall, ["rep", "model"], "_yy", "p", F.col("_t"), eceq_bins, copies, unit)
-    sign = F.when(F.col("model") == "m", 1.0).otherwise(-1.0)
-    cal = flat.join(mass, ["rep", "model"]).groupBy("rep").agg(
-        F.sum(F.col("ece") * sign).alias("delta_ece"), F.sum(F.col("ece_q") * sign).alias("delta_ece_q")
-    )
-    return losses.join(cal, "rep")
-
-
 def bootstrap_intervals(deltas: DataFrame, level: float = 95.0) -> DataFrame:
     """Percentile interval of each delta over the replicates (one row per replicate)."""
     alpha = max(0.1, min(49.9, (100.0 - level) / 2.0)) / 100.0
     names = [c for c in deltas.columns if c.startswith("delta_")]
     return deltas.agg(
         *[F.percentile(c, F.lit(a)).alias(f"{c}_ci_{tag}") for c in names for tag, a in (("lo", alpha), ("hi", 1.0 - alpha))],
-        F.count("*").alias("bootstrap_b"),
+        F.count("*").alias("bootstrap_b"), *([F.max("n_groups").alias("bootstrap_n_groups")] if "n_groups" in deltas.columns else []),
     )

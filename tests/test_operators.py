@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strikelake.functions import calendar as cal, features, scalar, text
-from strikelake.operators import asof, bars, chain, lookups, metrics, quality, relational, skew, splits, weights
+from strikelake.operators import asof, bars, bootstrap, chain, lookups, metrics, quality, relational, skew, splits, weights
 from strikelake.operators.percentiles import exact_percentiles
 
 D = dt.datetime
@@ -183,7 +183,7 @@ def test_bootstrap_equals_resampling_the_rows(spark):
     tie = [hashlib.md5(str(i).encode()).hexdigest() for i in range(n)]
     df = frame(spark, [(unit[i], float(pm[i]), float(pb[i]), int(y[i]), tie[i]) for i in range(n)], "u string, pm double, pb double, y int, t string")
     copies = {(r["rep"], r["u"]): r["m"] for r in metrics.bootstrap_copies(df.select("u"), "u", 6, 7).collect()}
-    got = {r["rep"]: r for r in metrics.bootstrap_deltas(df, "u", "y", "pm", "pb", F.col("t"), 6, 7).collect()}
+    got = {r["rep"]: r for r in bootstrap.bootstrap_deltas(df, "u", "y", "pm", "pb", F.col("t"), 6, 7).collect()}
     for rep in range(6):
         m = np.array([copies.get((rep, u), 0) for u in unit])
         assert sum(v for (r_, _), v in copies.items() if r_ == rep) == len(set(unit))
@@ -193,6 +193,33 @@ def test_bootstrap_equals_resampling_the_rows(spark):
         assert got[rep]["delta_ece_q"] == pytest.approx(want, abs=1e-12)
 
 
+def test_poisson_bootstrap_equals_weighted_rows_and_draws_poisson_counts(spark):
+    """Single rows as units, one prediction over a third of the rows, unusable rows beside them."""
+    rng = np.random.default_rng(3)
+    n, reps = 3000, 40
+    pm, pb = rng.random(n), rng.random(n)
+    pm[: n // 3] = 0.5
+    y = rng.integers(0, 2, n)
+    rows = [(i, float(pm[i]), float(pb[i]), int(y[i]), f"{i * 7919 % n:05d}") for i in range(n)]
+    df = frame(spark, [*rows, (n, None, 0.5, 1, "x"), (n + 1, float("nan"), 0.5, 1, "x"), (n + 2, 0.5, 0.5, None, "x")], "id long, pm double, pb double, y int, t string")
+    got = {r["rep"]: r for r in bootstrap.bootstrap_deltas(df.repartition(7), "id", "y", "pm", "pb", F.col("t"), reps, 7, resampling="poisson").collect()}
+    keys = np.array([r[0] for r in df.where(F.col("id") < n).orderBy("id").select(F.xxhash64(F.col("id").cast("string"))).collect()])
+    m = bootstrap.poisson_counts(reps, 7)(keys)
+    assert m.mean() == pytest.approx(1.0, abs=0.01) and m.var() == pytest.approx(1.0, abs=0.02) and m.max() >= 6
+    assert abs(np.corrcoef(m.T)[np.triu_indices(reps, 1)]).max() < 0.1
+    loss = lambda p: -np.where(y == 1, np.log(p), np.log(1 - p))
+    tie = [r[4] for r in rows]
+    for rep in (0, 7, 39):
+        w = m[:, rep]
+        assert got[rep]["n_groups"] == n
+        assert got[rep]["delta_logloss"] == pytest.approx(np.sum(w * (loss(pm) - loss(pb))) / w.sum(), abs=1e-12)
+        assert got[rep]["delta_brier"] == pytest.approx(np.sum(w * ((pm - y) ** 2 - (pb - y) ** 2)) / w.sum(), abs=1e-12)
+        want = ece_q_brute(pm, y, tie, 10, w) - ece_q_brute(pb, y, tie, 10, w)
+        assert got[rep]["delta_ece_q"] == pytest.approx(want, abs=1e-12)
+    with pytest.raises(ValueError):
+        bootstrap.bootstrap_deltas(df, "id", "y", "pm", "pb", F.col("t"), 2, resampling="other")
+
+
 def test_isotonic_fit_equals_min_max_formula():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 30):
