@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strikelake.catalog import register
-from strikelake.functions import calendar as C, features, keys as K, scalar as S, text as T
+from strikelake.functions import calendar as C, features, keys as K, scalar as S, sessions as Se, text as T
 from strikelake.functions.scalar import round_half_up as r
 from strikelake.operators import filters as P
 from strikelake.sources.tables import LABELLED, TICKS, TITLES, labelled, load, ticks, titles
@@ -287,6 +287,72 @@ def expiry_schedule_by_dte(spark, d):
     )
 
 
+# Rules of the exchange's closed and half days over a table ds (d), Easter by Gauss' formula for 1900 to 2099.
+SESSIONS = (
+    "ea AS (SELECT d, year(d) AS y, month(d) AS m, day(d) AS k, isodow(d) AS w, (19 * (year(d) % 19) + 24) % 30 AS gd FROM ds)",
+    "eb AS (SELECT *, (2 * (y % 4) + 4 * (y % 7) + 6 * gd + 5) % 7 AS ge FROM ea)",
+    """ec AS (SELECT *, CAST(make_date(y, 3, 22) + CAST(gd + ge - CASE WHEN ge = 6 AND (gd = 29 OR (gd = 28 AND y % 19 > 10)) THEN 7 ELSE 0 END AS INT) AS DATE) AS easter,
+   CASE w WHEN 5 THEN strftime(d + INTERVAL 1 DAY, '%m%d') WHEN 1 THEN strftime(d - INTERVAL 1 DAY, '%m%d') ELSE '' END AS moved, strftime(d, '%m%d') AS md FROM eb)""",
+    """hd AS (SELECT *, md IN ('0101', '0704', '1225') OR moved IN ('0704', '1225') OR (w = 1 AND moved = '0101') OR (y >= 2022 AND (md = '0619' OR moved = '0619'))
+   OR (w = 1 AND ((m = 1 AND k BETWEEN 15 AND 21 AND y >= 1998) OR (m = 2 AND k BETWEEN 15 AND 21) OR (m = 5 AND k > 24) OR (m = 9 AND k < 8)))
+   OR (w = 4 AND m = 11 AND k BETWEEN 22 AND 28) OR d = CAST(easter - 2 AS DATE) AS holiday FROM ec)""",
+    "se AS (SELECT d, (m = 11 AND w = 5 AND k BETWEEN 23 AND 29) OR (md IN ('0703', '1224') AND w < 5) AS half FROM hd WHERE w < 6 AND NOT holiday)",
+)
+#: Half of the events move to the weeks of Thanksgiving and Christmas; all of them are in winter time, UTC - 5.
+SEASON = "ev AS (SELECT event_id, ts + INTERVAL (330 * (event_id % 2)) DAY AS ts FROM events)"
+SEASON_DAYS = "ds AS (SELECT DISTINCT CAST(unnest(generate_series((SELECT min(ts) FROM ev) - INTERVAL 15 DAY, (SELECT max(ts) FROM ev), INTERVAL 1 DAY)) AS DATE) AS d)"
+HOURS = "ho AS (SELECT d, CAST(d AS TIMESTAMP) + INTERVAL 870 MINUTE AS o, CAST(d AS TIMESTAMP) + CASE WHEN half THEN INTERVAL 18 HOUR ELSE INTERVAL 21 HOUR END AS c FROM se)"
+
+
+def season(spark, d):
+    e = load(spark, d, "events")
+    return e.select("event_id", (F.col("ts") + F.make_dt_interval((F.col("event_id") % 2 * 330).cast("int"))).alias("ts"))
+
+
+@register(
+    "market_calendar",
+    "ds AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + CAST(y * 3653 AS INT) AS d FROM orders, (SELECT unnest([0, 1, 2, 3]) AS y))",
+    *SESSIONS,
+    sql="SELECT CAST(d AS DATE) AS session_date, half AS half_day FROM se",
+)
+def market_calendar(spark, d):
+    days = load(spark, d, "orders").select(F.to_date("o_orderdate").alias("o")).distinct()
+    days = days.select(F.explode(F.array(*[F.date_add("o", 3653 * y) for y in range(4)])).alias("d"))
+    return Se.us_sessions(days).select("session_date", "half_day")
+
+
+@register(
+    "session_classes_by_calendar",
+    SEASON,
+    SEASON_DAYS,
+    *SESSIONS,
+    HOURS,
+    "l AS (SELECT event_id, ts, CAST(ts - INTERVAL 5 HOUR AS DATE) AS ld FROM ev)",
+    """x AS (SELECT event_id, ts, coalesce(o, CAST(ld AS TIMESTAMP) + INTERVAL 870 MINUTE) AS o, coalesce(c, CAST(ld AS TIMESTAMP) + INTERVAL 21 HOUR) AS c FROM l LEFT JOIN ho ON ho.d = ld)""",
+    sql="SELECT event_id, CASE WHEN ts < o THEN 'PRE' WHEN ts <= c THEN 'REG' ELSE 'POST' END AS session, (SELECT epoch_us(max(c)) FROM ho WHERE ho.c <= x.ts) AS last_close FROM x",
+)
+def session_classes_by_calendar(spark, d):
+    x = season(spark, d)
+    sessions = Se.us_sessions(Se.day_span(x, "ts"))
+    out = Se.with_last_close(Se.with_session_class(x, "ts", sessions), "ts", sessions)
+    return out.select("event_id", "session", F.unix_micros("last_close").alias("last_close"))
+
+
+@register(
+    "schedule_with_closed_days",
+    "os AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)",
+    "ds AS (SELECT DISTINCT CAST(d - o AS DATE) AS d FROM os, (SELECT unnest([1, 3, 5, 7]) AS o))",
+    *SESSIONS,
+    "r AS (SELECT CAST(os.d - CAST(isodow(os.d) - 1 AS INT) AS DATE) AS week_monday, os.d AS expiry, CAST(os.d - o AS DATE) AS asof_day FROM os, (SELECT unnest([1, 3, 5, 7]) AS o) WHERE isodow(os.d) IN (3, 5))",
+    sql="""SELECT week_monday, expiry, asof_day AS "asof", CASE WHEN se.d IS NULL THEN 'no_session' ELSE 'kept' END AS status FROM r LEFT JOIN se ON se.d = asof_day""",
+)
+def schedule_with_closed_days(spark, d):
+    o = load(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    none = F.lit(None).cast("date")
+    planned = C.schedule_from_days(o, none, none, "expiry_range", (2, 4), dte=C.dte_span(1, 7, 2))
+    return Se.mark_closed_days(planned, Se.us_sessions(planned, "asof"))
+
+
 _M = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -106,6 +106,13 @@ def parse_dte(text: str) -> list[int]:
     return list(out)
 
 
+def dte_span(least: int, most: int, step: int = 1) -> list[int]:
+    """Days to expiry from `least` to `most`, both included, `step` apart."""
+    if least < 0 or most < least or step < 1:
+        raise ValueError(f"not a span of days to expiry: {least} to {most} by {step}")
+    return list(range(least, most + 1, step))
+
+
 def parse_range(text: str | None) -> tuple[date | None, date | None]:
     """'2024-01-01:2024-01-31', one side left open, or one day for both ends."""
     raw = (text or "").strip()
@@ -162,7 +169,3 @@ def schedule_from_days(
     if mode == "weekly" and not dte:
         status = status.when((F.col("asof") < lo) | (F.col("asof") > hi), "out_of_range")
     return rows.withColumn("status", status.otherwise("kept")).dropDuplicates(["week_monday", "expiry", "asof"])
-
-
-def days_between(start: date, end: date) -> list[date]:
-    return [start + timedelta(days=i) for i in range((end - start).days + 1)]
