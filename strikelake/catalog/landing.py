@@ -88,6 +88,23 @@ def partitioned_bar_scan(spark, d):
     return out.select("market_id", F.unix_micros("timestamp_utc").alias("timestamp_utc"), "open", "close")
 
 
+@register(
+    "bar_scan_past_bad_files",
+    TICKS,
+    HOURLY,
+    sql="""SELECT CAST(h AS DATE) AS date, count(*) AS bars, 1::BIGINT AS skipped_files FROM hourly WHERE CAST(h AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' GROUP BY 1""",
+)
+def bar_scan_past_bad_files(spark, d):
+    """Two broken files lie among the bars, one of them inside the range."""
+    path = scratch_path(spark, "bars")
+    sinks.write_bars(bars.ohlc(ticks(spark, d), "1h"), path, "1h")
+    for day in ("2024-01-09", "2024-01-20"):
+        load(spark, d, "region").select("r_name").coalesce(1).write.mode("append").text(f"{path}/freq=1h/date={day}")
+    schema = "market_id bigint, timestamp_utc timestamp, close double"
+    out, counted = readers.scan_bars_counted(spark, path, schema, "1h", start="2024-01-08", end="2024-01-12")
+    return with_scalars(out.groupBy("date").agg(F.count("*").alias("bars")), counted.select("skipped_files"))
+
+
 @register(
     "price_history_slice",
     TICKS,

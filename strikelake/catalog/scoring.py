@@ -34,8 +34,7 @@ WROWS = """wr AS (SELECT concat('S', CAST(ticker AS VARCHAR)) AS t, asof_date AS
 WKEYS = """wk AS (SELECT *, concat_ws('|', t, strftime(e, '%Y-%m-%d'), strftime(s, '%Y-%m-%d'), upper(strftime(s, '%a'))) AS g FROM wr)"""
 
 
-@register(
-    "snapshot_weights",
+WEIGHTS = (
     LABELLED,
     WROWS,
     WKEYS,
@@ -43,19 +42,39 @@ WKEYS = """wk AS (SELECT *, concat_ws('|', t, strftime(e, '%Y-%m-%d'), strftime(
     "ts AS (SELECT t, count(*) AS c FROM gs GROUP BY 1)",
     "al AS (SELECT t, c, least(greatest(sqrt((SELECT avg(c) FROM ts) / c), 0.97::DOUBLE), 1.02::DOUBLE) AS a, CASE WHEN t IN ('S3', 'S5') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS f FROM ts)",
     "raw AS (SELECT wk.*, gs.n, al.c, 1.0::DOUBLE / gs.n * al.a * al.f AS wraw FROM wk JOIN gs ON wk.g = gs.g JOIN al ON al.t = wk.t)",
-    sql=f"""SELECT order_id, l_linenumber, l_partkey, price, g AS group_id, concat_ws('|', t, strftime(e, '%Y-%m-%d'), printf('%.7f', k)) AS cluster_strike,
-  n::DOUBLE AS weight_group_size, c::DOUBLE AS weight_ticker_group_count, {r6('wraw / (SELECT avg(wraw) FROM raw)')} AS weight_final FROM raw""",
 )
-def snapshot_weights(spark, d):
-    out = Wt.weighting_v3(
-        weight_rows(spark, d).drop("w"), mode="sqrt_inv", alpha_min=0.97, alpha_max=1.02, beta=1.5, focus="s3, S5", probe=False
-    )
-    return out.select(
+WEIGHTS_SQL = f"""SELECT order_id, l_linenumber, l_partkey, price, g AS group_id, concat_ws('|', t, strftime(e, '%Y-%m-%d'), printf('%.7f', k)) AS cluster_strike,
+  n::DOUBLE AS weight_group_size, c::DOUBLE AS weight_ticker_group_count, {r6('wraw / (SELECT avg(wraw) FROM raw)')} AS weight_final FROM raw"""
+
+
+def weighted(rows):
+    """The columns that are compared of weighted rows."""
+    return rows.select(
         "order_id", "l_linenumber", "l_partkey", "price", "group_id", "cluster_strike", "weight_group_size", "weight_ticker_group_count",
         r(F.col("weight_final"), 6).alias("weight_final"),
     )
 
 
+WEIGHTING = {"mode": "sqrt_inv", "alpha_min": 0.97, "alpha_max": 1.02, "beta": 1.5, "focus": "s3, S5", "probe": False}
+
+
+@register("snapshot_weights", *WEIGHTS, sql=WEIGHTS_SQL)
+def snapshot_weights(spark, d):
+    return weighted(Wt.weighting_v3(weight_rows(spark, d).drop("w"), **WEIGHTING))
+
+
+@register("backfill_with_weights", *WEIGHTS, sql=WEIGHTS_SQL)
+def backfill_with_weights(spark, d):
+    """The stored rows end in 1998 and carry old weights, the extra ones begin in 1997: the result is the whole table weighted anew."""
+    from strikelake.plans.datasets import backfill_dataset
+
+    x = weight_rows(spark, d).drop("w")
+    x = x.withColumn("row_id", F.concat_ws("|", "order_id", "l_linenumber", "l_partkey", "price", "snapshot_date"))
+    stored = Wt.weighting_v3(x.where(F.col("snapshot_date") < F.lit("1998-01-01")), **WEIGHTING).select(*x.columns, "weight_final", "weighting_version")
+    extra = x.where(F.col("snapshot_date") >= F.lit("1997-01-01"))
+    return weighted(backfill_dataset(stored, extra, **WEIGHTING))
+
+
 @register(
     "weight_migration_report",
     LABELLED,

@@ -88,17 +88,39 @@ def scan_bars(
     spark: SparkSession, path: str, freq: str, markets: DataFrame | None = None, start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Bars of one frequency and date range: partition pruning on freq and date, then a market semi join."""
-    bars = spark.read.option("mergeSchema", True).parquet(path).where(F.col("freq") == freq)
+    bars = _in_range(spark.read.option("mergeSchema", True).parquet(path), freq, start, end)
+    return _clean_bars(bars, markets)
+
+
+def _in_range(df: DataFrame, freq: str, start: str | None, end: str | None) -> DataFrame:
+    out = df.where(F.col("freq") == freq)
     if start:
-        bars = bars.where(F.col("date") >= F.lit(start).cast("date"))
-    if end:
-        bars = bars.where(F.col("date") <= F.lit(end).cast("date"))
+        out = out.where(F.col("date") >= F.lit(start).cast("date"))
+    return out.where(F.col("date") <= F.lit(end).cast("date")) if end else out
+
+
+def _clean_bars(bars: DataFrame, markets: DataFrame | None) -> DataFrame:
     if markets is not None:
         bars = restrict_to(bars, market_id=markets)
     bars = bars.withColumn("close", to_number(F.col("close"))).dropna(subset=["market_id", "timestamp_utc", "close"])
     return keep_last(bars, ["market_id", "timestamp_utc"], ["close"])
 
 
+def scan_bars_counted(
+    spark: SparkSession, path: str, schema: StructType | str, freq: str, markets: DataFrame | None = None, start: str | None = None, end: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(bars, one row `files`, `skipped_files`): files that cannot be read are passed over and counted.
+
+    `schema` holds the data columns, so no footer is needed to plan. Skipped are the files of the range that are listed but give
+    no row, files of no rows among them; a file broken behind its first rows keeps those rows. The listing reads no contents.
+    """
+    read = _in_range(spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path), freq, start, end)
+    listed = _in_range(spark.read.format("binaryFile").load(path), freq, start, end).select(F.col("_metadata.file_path").alias("file"))
+    seen = read.select(F.col("_metadata.file_path").alias("file"), F.lit(True).alias("_seen")).distinct()
+    counted = listed.join(seen, "file", "left").agg(F.count("*").alias("files"), F.count_if(F.col("_seen").isNull()).alias("skipped_files"))
+    return _clean_bars(read, markets), counted
+
+
 def read_checked_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good rows, one-row count of lines that did not parse)."""
     wide = StructType(list(schema.fields)).add("_bad", StringType())
