@@ -445,24 +445,61 @@ def embedding_logistic_scores(spark, d):
     return x.select("vec_id", model.probability().alias("p"))
 
 
-@register("ridge_residual_scores")
+def solve3(a, g):
+    """SQL of the three unknowns of a symmetric 3 x 3 system: a = (a11, a12, a13, a22, a23, a33), by Cramer's rule."""
+    a11, a12, a13, a22, a23, a33 = a
+    g1, g2, g3 = g
+    det = f"({a11} * ({a22} * {a33} - {a23} * {a23}) - {a12} * ({a12} * {a33} - {a23} * {a13}) + {a13} * ({a12} * {a23} - {a22} * {a13}))"
+    return (
+        f"({g1} * ({a22} * {a33} - {a23} * {a23}) - {a12} * ({g2} * {a33} - {a23} * {g3}) + {a13} * ({g2} * {a23} - {a22} * {g3})) / {det}",
+        f"({a11} * ({g2} * {a33} - {a23} * {g3}) - {g1} * ({a12} * {a33} - {a23} * {a13}) + {a13} * ({a12} * {g3} - {g2} * {a13})) / {det}",
+        f"({a11} * ({a22} * {g3} - {g2} * {a23}) - {a12} * ({a12} * {g3} - {g2} * {a13}) + {g1} * ({a12} * {a23} - {a22} * {a13})) / {det}",
+    )
+
+
+MOMENTS = ("a11", "a12", "a13", "a22", "a23", "a33"), ("g1", "g2", "g3")
+STEP = solve3(*MOMENTS)
+
+
+@register(
+    "ridge_residual_scores",
+    LABELLED,
+    "rx AS (SELECT y, p_base, w::DOUBLE AS x1, tax::DOUBLE AS x2, p_model AS x3, y - p_base AS t FROM labelled)",
+    "rm AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(t) AS mt FROM rx)",
+    """rs AS (SELECT sum((x1 - m1) * (x1 - m1)) + 10 AS a11, sum((x1 - m1) * (x2 - m2)) AS a12, sum((x1 - m1) * (x3 - m3)) AS a13, sum((x2 - m2) * (x2 - m2)) + 10 AS a22, sum((x2 - m2) * (x3 - m3)) AS a23,
+   sum((x3 - m3) * (x3 - m3)) + 10 AS a33, sum((x1 - m1) * (t - mt)) AS g1, sum((x2 - m2) * (t - mt)) AS g2, sum((x3 - m3) * (t - mt)) AS g3 FROM rx, rm)""",
+    f"rb AS (SELECT {STEP[0]} AS b1, {STEP[1]} AS b2, {STEP[2]} AS b3 FROM rs)",
+    sql=f"""SELECT y, count(*) AS n, {r6('avg(least(greatest(p_base + mt + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3), 0), 1))')} AS p FROM rx, rm, rb GROUP BY 1""",
+)
 def ridge_residual_scores(spark, d):
-    """Rows-only: ridge on the market residual over whole-table features."""
+    """Ridge on the market residual over whole-table features."""
     x = labelled(spark, d).select("group_id", F.col("y").alias("label"), F.col("p_base").alias("pm_mid"), F.col("p_model").alias("pRN"), "w", "tax")
     rows = X.prepare(x, "residual")
     model = X.fit_mixed(rows, ["w", "tax", "pRN"], "residual", alpha=10.0)
-    return rows.select(F.col("label").alias("y"), model.probability().alias("p")).groupBy("y").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
+    return rows.select(F.col("label").alias("y"), model.probability().alias("p")).groupBy("y").agg(F.count("*").alias("n"), r(F.avg("p"), 6).alias("p"))
 
 
-@register("offset_logistic_fit")
+@register(
+    "offset_logistic_fit",
+    LABELLED,
+    "oc AS (SELECT w::DOUBLE / 50.0::DOUBLE AS x1, tax::DOUBLE * 10.0::DOUBLE AS x2, y, ln(p_base / (1.0::DOUBLE - p_base)) AS o, count(*)::DOUBLE AS n FROM labelled GROUP BY ALL)",
+    f"""oe AS (WITH RECURSIVE e AS (SELECT 0 AS step, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3
+   UNION ALL SELECT step + 1, b1 - {STEP[0]}, b2 - {STEP[1]}, b3 - {STEP[2]} FROM (
+     SELECT any_value(step) AS step, any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, sum(h) AS a11, sum(h * x1) AS a12, sum(h * x2) AS a13, sum(h * x1 * x1) + 1 AS a22,
+       sum(h * x1 * x2) AS a23, sum(h * x2 * x2) + 1 AS a33, sum(q) AS g1, sum(q * x1) + any_value(b2) AS g2, sum(q * x2) + any_value(b3) AS g3
+     FROM (SELECT step, b1, b2, b3, x1, x2, n * p * (1 - p) AS h, n * (p - y) AS q
+       FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(b1 + b2 * x1 + b3 * x2 + o))) AS p FROM e, oc WHERE step < 20)) GROUP BY step))
+   SELECT * FROM e WHERE step = 20)""",
+    sql=f"SELECT y, sum(n)::BIGINT AS n, {r6('sum(n * (o + b1 + b2 * x1 + b3 * x2)) / sum(n)')} AS eta FROM oc, oe GROUP BY 1",
+)
 def offset_logistic_fit(spark, d):
-    """Rows-only: Newton fit with the baseline logit as a fixed offset."""
+    """Newton fit with the baseline logit as a fixed offset."""
     from strikelake.functions.scalar import logit
 
     x = labelled(spark, d)
     b0, beta = L.fit_offset(x, [F.col("w") / 50.0, F.col("tax") * 10.0], "y", logit(F.col("p_base")), c=1.0)
     eta = logit(F.col("p_base")) + F.lit(b0) + F.col("w") / 50.0 * float(beta[0]) + F.col("tax") * 10.0 * float(beta[1])
-    return x.select("y", eta.alias("eta")).groupBy("y").agg(F.count("*").alias("n"), F.avg("eta").alias("eta"))
+    return x.select("y", eta.alias("eta")).groupBy("y").agg(F.count("*").alias("n"), r(F.avg("eta"), 6).alias("eta"))
 
 
 @register("snapshot_probability_table")
