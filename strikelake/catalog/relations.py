@@ -8,6 +8,7 @@ from strikelake.catalog import register
 from strikelake.functions import keys as K, scalar as S
 from strikelake.functions.scalar import round_half_up as r
 from strikelake.operators import lookups, relational as R
+from strikelake.operators.ranks import with_running_sum
 from strikelake.sources.tables import (
     CLOSES, DIM_MARKET, DIVIDENDS, LABELLED, SPLITS, TICKS, TITLES, closes, dim_market, dividends, labelled, load,
     splits, ticks, titles,
@@ -494,6 +495,39 @@ def column_fill_and_variance(spark, d):
     return out.select("column", "non_null", r(F.col("variance"), 6).alias("variance"))
 
 
+@register(
+    "useful_features",
+    LABELLED,
+    sql=f"""SELECT ticker, count(*) AS n, {r6('avg(w)')} AS w, {r6('avg(tax)')} AS tax FROM labelled GROUP BY 1""",
+)
+def useful_features(spark, d):
+    """Features that are empty or near-constant on the fit rows leave the whole table; one that varies only later leaves too."""
+    x = labelled(spark, d).withColumns({
+        "empty": F.lit(None).cast("double"), "flat": F.lit(0.1), "late": F.when(F.col("asof_date") >= F.lit("2000-01-01"), F.col("w")).otherwise(F.lit(5.0)),
+    })
+    features = ["w", "tax", "empty", "flat", "late"]
+    empty, flat = R.droppable_features(x.where(F.col("asof_date") < F.lit("2000-01-01")), features)
+    kept = [f for f in features if f not in (*empty, *flat)]
+    return x.groupBy("ticker").agg(F.count("*").alias("n"), *[r(F.avg(f), 6).alias(f) for f in kept])
+
+
+@register(
+    "ordered_dataset",
+    LABELLED,
+    "od AS (SELECT asof_date AS d, concat('S', CAST(ticker AS VARCHAR)) AS t, CAST(l_partkey % 50 AS DOUBLE) AS k FROM labelled)",
+    "ra AS (SELECT *, row_number() OVER (ORDER BY d, t, k) AS place FROM od)",
+    sql="SELECT d AS snapshot_date, t AS ticker, min(place) AS first_place, max(place) AS last_place FROM ra GROUP BY 1, 2",
+)
+def ordered_dataset(spark, d):
+    """Places of each day and ticker in the written order of a dataset."""
+    x = labelled(spark, d).select(
+        F.col("asof_date").alias("snapshot_date"), F.concat(F.lit("S"), F.col("ticker").cast("string")).alias("ticker"), (F.col("l_partkey") % 50).cast("double").alias("K")
+    )
+    # Ids of an ordered result grow with its partitions; equal rows of the order are interchangeable.
+    placed = with_running_sum(R.output_order(x).withColumn("_id", F.monotonically_increasing_id()), [], ["_id"], F.lit(1).cast("long"), "place")
+    return placed.groupBy("snapshot_date", "ticker").agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+
+
 @register(
     "first_available_label",
     LABELLED,
