@@ -108,14 +108,18 @@ def _statistics_batches(text_at: int, keep: list[str]):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, learn_from: Column, max_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, y, text) of at most ``max_rows`` labelled documents; the chosen labels are few enough to be broadcast."""
+    """(id, y, text) of at most ``max_rows`` labelled documents; the chosen labels are few enough to be broadcast.
+
+    An id that several documents share gives one row, with the smallest of their texts; copies go before the shuffle.
+    """
     chosen = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{target}`").cast("double").alias("y"))
         .filter(F.col("id").isNotNull() & F.col("y").isNotNull() & learn_from)
         .groupBy("id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     )
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", learn_from: Column | None = None, max_fit_rows: int = 20_000, ridge: float = 1e-3, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model:
