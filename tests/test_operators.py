@@ -479,3 +479,29 @@ def test_an_emptied_fold_is_an_error(spark):
     for options in ({"group": "g"}, {"embargo": 90, "date_col": "day"}):
         with pytest.raises(ValueError, match="empty after"):
             splits.require_whole_folds(splits.fold_facts(splits.fold_masks(df, [fold], "week", **options), [fold], "day"))
+
+
+@pytest.mark.parametrize("resampling", ["draws", "poisson"])
+def test_bootstrap_walks_cut_chunks_and_writes_no_counts_with_the_rows(spark, monkeypatch, resampling):
+    """Chunks of 32 rows, so that edges fall inside chunks and between them; what is written of the rows grows with the rows alone."""
+    written = {}
+    keep = bootstrap.materialize
+    monkeypatch.setattr(bootstrap, "materialize", lambda df, name="stage": written.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(bootstrap, "CHUNK", 32, raising=False)
+    rng = np.random.default_rng(8)
+    n, reps = 900, 12
+    pm, pb, y = rng.random(n), np.round(rng.random(n), 1), rng.integers(0, 2, n)
+    unit, tie = [f"u{v}" for v in rng.integers(0, 40, n)], [f"{i * 7919 % n:05d}" for i in range(n)]
+    df = frame(spark, [(unit[i], float(pm[i]), float(pb[i]), int(y[i]), tie[i]) for i in range(n)], "u string, pm double, pb double, y int, t string")
+    got = {r["rep"]: r for r in bootstrap.bootstrap_deltas(df.repartition(5), "u", "y", "pm", "pb", F.col("t"), reps, 7, resampling=resampling).collect()}
+    assert "_m" not in written["resampled"].columns
+    if resampling == "draws":
+        copies = {(r["rep"], r["u"]): r["m"] for r in metrics.bootstrap_copies(df.select("u"), "u", reps, 7).collect()}
+        m = np.array([[copies.get((rep, u), 0) for rep in range(reps)] for u in unit])
+    else:
+        key = {r[0]: r[1] for r in df.select("u", F.xxhash64("u")).distinct().collect()}
+        m = bootstrap.poisson_counts(reps, 7)(np.array([key[u] for u in unit])).astype(int)
+    for rep in range(reps):
+        assert got[rep]["n_groups"] == len(set(unit))
+        want = ece_q_brute(pm, y, tie, 10, m[:, rep]) - ece_q_brute(np.clip(pb, 1e-6, 1 - 1e-6), y, tie, 10, m[:, rep])
+        assert got[rep]["delta_ece_q"] == pytest.approx(want, abs=1e-5)
