@@ -107,8 +107,8 @@ def _statistics_batches(text_at: int, keep: list[str]):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, learn_from: Column, max_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, y, text) of at most ``max_rows`` labelled documents; the chosen labels are few enough to be broadcast.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, learn_from: Column, max_rows: int | None, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, text) of the labelled documents: all without ``max_rows``, else at most that many, whose labels are broadcast.
 
     An id that several documents share gives one row, with the smallest of their texts; copies go before the shuffle.
     """
@@ -116,9 +116,10 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, learn_from: Column
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{target}`").cast("double").alias("y"))
         .filter(F.col("id").isNotNull() & F.col("y").isNotNull() & learn_from)
         .groupBy("id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     )
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
+    if max_rows is not None:
+        chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id")
     return rows.groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
