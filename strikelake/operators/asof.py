@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelake.operators.skew import SLICE_MICROS
 
+SPANS_PER_TASK = 1_000
+
 
 def asof_join(
     left: DataFrame,
@@ -100,7 +102,12 @@ def _nearest(left, right, on, left_ts, right_ts, values, tolerance, tiebreak, sl
 
 
 def hourly_spine(spans: DataFrame, start: Column, end: Column, name: str = "timestamp_utc") -> DataFrame:
-    """One row per full hour from `start` to `end`; grows with the calendar span, not with ticks."""
+    """One row per full hour from `start` to `end`; grows with the calendar span, not with ticks.
+
+    A span makes hundreds of rows, so the spans are dealt to tasks by their number, not by their few bytes.
+    """
+    if (tasks := -(-spans.count() // SPANS_PER_TASK)) > 1:
+        spans = spans.repartition(tasks)
     lo, hi = F.date_trunc("hour", start), F.date_trunc("hour", end)
     hours = F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 HOUR")))
     return spans.withColumn(name, F.explode(hours))
