@@ -85,6 +85,15 @@ def weighting_v3(
 
     `scope` names columns (a file, a dataset) inside which everything is computed separately.
     """
+    keyed, groups = weight_groups(df, mode=mode, alpha_min=alpha_min, alpha_max=alpha_max, beta=beta, focus=focus, strict=strict, probe=probe, scope=scope)
+    return with_cluster_keys(keyed.join(groups, [*scope, "weight_group_key"])).withColumn("weighting_version", F.lit(VERSION))
+
+
+def weight_groups(
+    df: DataFrame, *, mode: str = "none", alpha_min: float = 0.5, alpha_max: float = 2.0, beta: float = 1.0, focus: str | Iterable[str] | None = None,
+    strict: bool = True, probe: bool = True, scope: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their keys, one row per group with its size and weights); the arguments are those of `weighting_v3`."""
     if mode not in ("none", "sqrt_inv"):
         raise ValueError(f"unknown ticker mode {mode!r}")
     if not beta > 0:
@@ -102,7 +111,7 @@ def weighting_v3(
     tickers = groups.groupBy(*sc, "_t").agg(F.count("*").cast("double").alias("weight_ticker_group_count"))
     if mode == "sqrt_inv":
         mean = tickers.groupBy(*sc).agg(F.avg("weight_ticker_group_count").alias("_mean"))
-        tickers = tickers.join(mean, sc) if sc else with_scalars(tickers, mean)
+        tickers = tickers.join(F.broadcast(mean), sc) if sc else with_scalars(tickers, mean)
         raw = F.sqrt(F.col("_mean") / F.greatest(F.col("weight_ticker_group_count"), F.lit(1.0)))
         tickers = tickers.withColumn("weight_ticker_w_raw", clip(raw, alpha_min, alpha_max)).drop("_mean")
     else:
@@ -121,9 +130,9 @@ def weighting_v3(
     mean = groups.groupBy(*sc).agg(
         (F.sum(F.col("weight_ticker_w_raw") * F.col("weight_trade_focus_mult")) / F.sum("weight_group_size")).alias("_m")
     )
-    groups = groups.join(mean, sc) if sc else with_scalars(groups, mean)
+    groups = groups.join(F.broadcast(mean), sc) if sc else with_scalars(groups, mean)
     groups = groups.withColumn("weight_final", F.col("weight_raw") / F.col("_m")).drop("_m", "_t")
-    return with_cluster_keys(keyed.join(groups, [*sc, "weight_group_key"])).withColumn("weighting_version", F.lit(VERSION))
+    return keyed, groups
 
 
 def base_weight(df: DataFrame, column: str | None) -> DataFrame:

@@ -23,11 +23,15 @@ def migrate_weights(rows: DataFrame, file: str = "file", **options) -> tuple[Dat
     keyed = weights.with_weight_keys(base, probe=False)
     bad = F.col("snapshot_date").isNull() | F.col("expiry_date").isNull() | F.col("snapshot_dow").isNull() | F.col("_k").isNull()
     fitness = keyed.groupBy(file).agg(F.count("*").alias("_rows"), F.max(bad).alias("_unfit"))
-    fit = base.join(fitness.where(~F.col("_unfit")).select(file), file, "left_semi")
+    # A row per file is broadcast: a shuffle by file would send a file's rows to one task.
+    fit = base.join(F.broadcast(fitness.where(~F.col("_unfit")).select(file)), file, "left_semi")
     done = weights.weighting_v3(fit, probe=False, scope=(file,), **options)
-    stats = done.groupBy(file).agg(
-        F.count_distinct("weight_group_key").alias("weight_groups"), F.min("weight_final").alias("weight_min"),
-        F.avg("weight_final").alias("weight_mean"), F.max("weight_final").alias("weight_max"),
+    # All weights are those of the groups, so the report reads the table of groups, not the rows.
+    _, groups = weights.weight_groups(fit, probe=False, scope=(file,), **options)
+    size = F.col("weight_group_size")
+    stats = groups.groupBy(file).agg(
+        F.count("weight_group_key").alias("weight_groups"), F.min("weight_final").alias("weight_min"),
+        (F.sum(F.col("weight_final") * size) / F.sum(size)).alias("weight_mean"), F.max("weight_final").alias("weight_max"),
     )
     report = fitness.join(stats, file, "left").select(
         file, F.when(F.col("_unfit"), "skipped_unfit").otherwise("processed").alias("status"), F.col("_rows").alias("rows"),
