@@ -505,3 +505,32 @@ def test_bootstrap_walks_cut_chunks_and_writes_no_counts_with_the_rows(spark, mo
         assert got[rep]["n_groups"] == len(set(unit))
         want = ece_q_brute(pm, y, tie, 10, m[:, rep]) - ece_q_brute(np.clip(pb, 1e-6, 1 - 1e-6), y, tie, 10, m[:, rep])
         assert got[rep]["delta_ece_q"] == pytest.approx(want, abs=1e-5)
+
+
+def test_hourly_spine_deals_spans_by_their_number(spark, monkeypatch):
+    """Spans are few bytes, so they arrive in one task; the hours they make must not be made there."""
+    monkeypatch.setattr(asof, "SPANS_PER_TASK", 10, raising=False)
+    spans = spark.range(95).coalesce(1).select(F.col("id").alias("market_id"))
+    got = asof.hourly_spine(spans, F.lit("2024-01-02 00:30:00").cast("timestamp"), F.lit("2024-01-03 05:00:00").cast("timestamp"))
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 95 * 30 and len(per) >= 9 and max(per) <= 30 * 30
+
+
+def test_tables_of_splits_and_files_are_not_joined_by_shuffles(spark):
+    """One key may be a whole split or file, so the rows must not be shuffled by it, whatever the size of the table."""
+    from strikelake.plans import datasets
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = frame(spark, [(s, i % 2, 0.3, 0.4) for i, s in enumerate("aab")], "split string, y int, pm double, pb double")
+        assert "SortMergeJoin" not in plan(metrics.stack_models(df, ["split"], "y", "pm", "pb"))
+        rows = frame(spark, [("f1", "a", "2024-01-02", "2024-01-05", 1.0), ("f1", "a", "2024-01-02", "2024-01-05", 2.0), ("f1", "b", "2024-01-03", "2024-01-05", 1.0), ("f2", "b", "2024-01-03", "2024-01-05", None)],
+                     "file string, ticker string, snapshot_date string, expiry_date string, K double")
+        _, report = datasets.migrate_weights(rows)
+        assert plan(report).count("SortMergeJoin") <= 3  # of small tables: groups with tickers, the report's own rows
+        found = {r["file"]: r for r in report.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found["f2"]["status"] == "skipped_unfit" and found["f1"]["rows"] == 3 and found["f1"]["weight_groups"] == 2
+    assert (found["f1"]["weight_min"], found["f1"]["weight_max"], found["f1"]["weight_mean"]) == (0.75, 1.5, pytest.approx(1.0))
