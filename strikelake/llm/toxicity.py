@@ -31,7 +31,7 @@ from strikelake.operators.ranks import with_running_sum
 from strikelake.session import materialize
 
 BUCKETS, DIMENSION, WIDTHS, FILTERS, PREFIX = 1 << 18, 12, (1, 2, 3), 8, 5
-SHARDS, SHARD_ROWS, ROUNDS = 6, 2_000, 4
+SHARDS, SHARD_ROWS, ROUNDS = 6, 3_500, 4  # a row in SHARDS + 1 calibrates
 PIECE = 1 << 16
 LANGUAGES = ("plain", "acute", "umlaut", "grave")
 
@@ -201,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", learn_from: C
     rows = labelled(docs, labels, target, F.lit(True) if learn_from is None else learn_from, None, id_col, text_col)
     part = F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(SHARDS + 1)).cast("int")  # the last part calibrates
     table = materialize(rows.select("text", "y", part.alias("part"), F.xxhash64("id").alias("h")).mapInArrow(_tokens, "y double, part int, h long, lang_guess int, tokens binary"), "toxicity-tokens")
-    wanted = max(SHARDS, -(-table.count() * SHARDS // ((SHARDS + 1) * SHARD_ROWS)))
-    shard = F.col("part") if wanted == SHARDS else F.pmod("h", F.lit(wanted)).cast("int")
+    wanted = max(1, -(-table.count() * SHARDS // ((SHARDS + 1) * SHARD_ROWS)))  # few rows are not thinned out over many shards
+    shard = F.pmod("h", F.lit(wanted)).cast("int")
     # Dealt once; the rows of a shard are neighbours in a file, and every pass reads the files.
     shards = table.filter(F.col("part") < SHARDS).withColumn("part", shard).repartition(wanted, "part").sortWithinPartitions("part", "h")
     shards = materialize(shards, "toxicity-shards")
