@@ -142,3 +142,11 @@ def test_search_to_selected_trial_and_c(spark, data):
     assert choose_c(scores, [0.01, 1.0], walk_forward=False) in (0.01, 1.0)
     per = {r["C"]: r["m"] for r in scores.groupBy("C").agg(F.avg("score").alias("m")).collect()}
     assert min(per, key=per.get) == best and per[best] == pytest.approx(mean(best), abs=1e-7)
+
+
+def test_logistic_step_from_one_exponential():
+    from strikelake.models.search import _logistic
+
+    eta = np.array([-1e4, -700.0, -3.0, 0.0, 2.5, 700.0, 1e4])
+    prob, softplus = _logistic(eta)
+    assert np.allclose(prob, 1 / (1 + np.exp(-np.clip(eta, -700, 700))), atol=1e-15) and np.allclose(softplus, np.logaddexp(0.0, eta), rtol=1e-14)
