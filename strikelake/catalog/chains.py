@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strikelake.catalog import register
 from strikelake.functions.scalar import round_half_up as r
 from strikelake.operators import chain as C
+from strikelake.session import materialize
 from strikelake.sources.tables import QUOTES, option_quotes
 
 CHAIN = ["ticker", "asof_date"]
@@ -240,15 +241,17 @@ def spot_scale_choice(spark, d):
   FROM n""",
 )
 def snapshot_bracket_probability(spark, d):
-    c = curve(spark, d)
-    t = strikes(spark, d)
-    kept = C.call_curve(t, CHAIN, C.rules_with(min_curve_strikes=1))
+    # Written once: the curves asked of are those of the chains with enough strikes.
+    kept = C.call_curve(strikes(spark, d), CHAIN, C.rules_with(min_curve_strikes=1))
+    kept = materialize(kept.select(*CHAIN, "strike", "call_smooth", "n_chain_used"), "curves")
+    c = kept.where(F.col("n_chain_used") >= C.CurveRules().min_curve_strikes)
     targets = kept.select(
         *CHAIN, (F.col("strike") + 0.5).alias("K"), F.when(F.col("ticker") % 2 == 0, 0.35).alias("atm_sigma"),
         F.lit(100.0).alias("spot"), F.lit(T_YEARS).alias("t_years"), F.lit(RATE).alias("rate"),
     )
     # The SQL asks only for targets whose chain has a curve; snapshot_probability_table returns the others too.
-    out = C.bracket_probability(targets, c, CHAIN).where(F.col("rn_method") != "no_chain")
+    # (No calls used is the method no_chain; a filter on the method would work out its nested cases again for every row.)
+    out = C.bracket_probability(targets, c, CHAIN).where(F.col("n_calls_used") > 0)
     return out.select(*CHAIN, "K", r(F.col("p_rn"), 9).alias("p_rn"), "delta_k", "rn_method")
 
 

@@ -30,3 +30,18 @@ def test_weighted_bins_rank_only_rows_near_an_edge(spark, monkeypatch, kind):
     got = metrics.ece_equal_mass(df, [], "y", "p", F.col("t"), 7, weight="w").first()["ece_q"]
     assert got == pytest.approx(greedy_error(p, y, w, tie, 7), abs=1e-9)
     assert max(written) < n * 0.8  # all rows were sorted and written twice
+
+
+def test_snapshot_probability_filters_no_nested_case(spark, tmp_path):
+    from strikelake import catalog
+
+    catalog.load_all()
+    day = dt.date(1996, 3, 4)
+    rows = [(i, 1, 30 + 2 * (i % 9), 7, day, float(20 + i % 9), 0.04, 30_000.0 + i) for i in range(40)]
+    rows += [(900, 1, 31, 8, day, 20.0, 0.04, 30_000.0)]  # a chain too thin for a curve
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, l_discount double, l_extendedprice double"
+    frame(spark, rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.QUERIES["snapshot_bracket_probability"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "lambda" in line]
+    assert {r["ticker"] for r in out.collect()} == {7} and out.count() == 9
