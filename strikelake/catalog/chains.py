@@ -213,7 +213,10 @@ def spot_scale_choice(spark, d):
     )
     q = quotes(spark, d).drop("spot").select("*", F.inline(scales))
     keys = [*CHAIN, "spot_scale"]
-    c = C.call_curve(C.strike_table(q, keys, TIE, rules), keys, rules).withColumn("spot_ref", F.col("spot"))
+    # No spread is asked for, so none is shuffled. Both scales of a chain come together, for all windows.
+    priced = lambda name: F.when(F.col(name).isNotNull(), F.struct(F.col(name)["px"].alias("px"), F.lit(None).cast("double").alias("rel")))
+    table = C.strike_table(q, keys, TIE, rules).withColumns({name: priced(name) for name in ("mid_q", "close_q")}).repartition(*CHAIN)
+    c = C.call_curve(table, keys, rules).withColumn("spot_ref", F.col("spot"))
     best = C.choose_scale(C.with_band(c, keys, rules=rules), CHAIN, rules=rules)
     return best.groupBy(*CHAIN).agg(
         F.max("spot_scale").alias("spot_scale"), F.max("n_band_inside").alias("n_band_inside"), F.max("n_chain_used").alias("n_chain_used")

@@ -45,3 +45,12 @@ def test_snapshot_probability_filters_no_nested_case(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "lambda" in line]
     assert {r["ticker"] for r in out.collect()} == {7} and out.count() == 9
+
+
+def test_scale_is_chosen_without_a_second_curve(spark):
+    rows = [("a", "raw", 1.0, 3, 9), ("a", "raw", 2.0, 3, 9), ("a", "split_adj", 1.0, 3, 9), ("b", "raw", 1.0, 12, 5), ("b", "split_adj", 1.0, 11, 30)]
+    rows += [("c", "split_adj", 1.0, 2, 3), ("c", "raw", 1.0, 2, 4), (None, "raw", 1.0, 2, 4)]
+    banded = frame(spark, rows, "c string, spot_scale string, strike double, n_band_inside long, n_chain_used long")
+    best = chain.choose_scale(banded, ["c"])
+    assert sorted((r["c"], r["spot_scale"]) for r in best.collect()) == [("a", "split_adj"), ("b", "raw"), ("c", "raw")]
+    assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
