@@ -101,7 +101,8 @@ def probabilities(scaled: DataFrame, quotes: DataFrame, tiebreak: list[str], rul
     """Banded strikes of the chosen scale with raw and monotone probability and chain diagnostics."""
     wanted = scaled.select(*SCALED, "expiration", "spot", "t_years", "rate", "div_yield")
     rows = quotes.join(wanted, ["ticker", "asof_date", "expiration"])
-    curve = C.call_curve(C.strike_table(rows, SCALED, tiebreak, rules.curve), SCALED, rules.curve)
+    strikes = C.strike_table(rows, SCALED, tiebreak, rules.curve).repartition(*CHAIN)  # both scales of a chain together, for all windows
+    curve = C.call_curve(strikes, SCALED, rules.curve)
     curve = curve.join(scaled.select(*SCALED, "spot_ref"), SCALED)
     banded = C.choose_scale(C.with_band(curve, SCALED, "spot_ref", rules.curve), CHAIN, rules=rules.curve)
     thick = materialize(banded.where(F.col("n_band_inside") >= rules.curve.min_inside), "curves")
