@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelake.operators.skew import pick_row
+from strikelake.session import materialize
 
 
 # --- columns ------------------------------------------------------------------------------------
@@ -17,11 +18,17 @@ def first_column(df: DataFrame, candidates: Sequence[str], with_values: bool = F
 
     The choice is for the whole column, never row by row. It reads one aggregate row.
     """
-    present = [c for c in candidates if c in df.columns]
-    if not with_values or not present:
-        return present[0] if present else None
-    seen = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in present]).first()
-    return next((c for c in present if seen[c]), None)
+    return first_columns(df, (candidates,), with_values)[0]
+
+
+def first_columns(df: DataFrame, lists: Sequence[Sequence[str]], with_values: bool = False) -> list[str | None]:
+    """`first_column` of several lists of candidates, all from one aggregate row."""
+    present = [[c for c in candidates if c in df.columns] for candidates in lists]
+    names = sorted({c for p in present for c in p})
+    if not with_values or not names:
+        return [p[0] if p else None for p in present]
+    seen = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in names]).first()
+    return [next((c for c in p if seen[c]), None) for p in present]
 
 
 def label_column(df: DataFrame, candidates: Sequence[str] = ("label", "outcome_ST_gt_K", "outcome")) -> str | None:
@@ -218,9 +225,13 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def backfill(existing: DataFrame, extra: DataFrame, key: str = "row_id") -> DataFrame:
-    """Rows of `extra` with ids not stored yet are added; the caller recomputes weights on the whole."""
-    return union_all(existing, extra.join(existing.select(key), key, "left_anti"))
+def backfill(existing: DataFrame, extra: DataFrame, key: str = "row_id", write: bool = False) -> DataFrame:
+    """Rows of `extra` with ids not stored yet are added; the caller recomputes weights on the whole.
+
+    `write` looks for the added rows once and writes them, for callers that read the result more than once.
+    """
+    added = extra.join(existing.select(key), key, "left_anti")
+    return union_all(existing, materialize(added, "backfill") if write else added)
 
 
 def output_order(df: DataFrame, dates: Sequence[str] = ("asof_date", "snapshot_date", "week_friday"), strike: Sequence[str] = ("K", "threshold")) -> DataFrame:

@@ -9,17 +9,21 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DateType
 
 from strikelake.functions import calendar, keys
 from strikelake.functions.scalar import clip
-from strikelake.operators.relational import first_column
+from strikelake.operators.relational import first_columns
 from strikelake.operators.skew import with_group_totals, with_scalars
+from strikelake.session import materialize
 
 VERSION = "v3"  # fixed value
 SNAPSHOT_DATES = ("snapshot_date", "asof_date", "asof_target", "asof_ts")
 EXPIRY_DATES = (
     "expiry_date", "option_expiration_used", "option_expiration_requested", "expiry_close_date_used", "week_friday",
 )
+STRIKES = ("K", "threshold", "strike")
+WEEKS = ("week_id", "week_friday")
 
 
 def upper_ticker(column: str = "ticker") -> Column:
@@ -36,12 +40,10 @@ def with_weight_keys(df: DataFrame, probe: bool = True) -> DataFrame:
 
     `probe` looks for the first candidate that holds values; without it the first present one is used.
     """
-    pick = lambda names: first_column(df, names, with_values=probe)
-    snap, expiry, strike = pick(SNAPSHOT_DATES), pick(EXPIRY_DATES), pick(("K", "threshold", "strike"))
-    week = pick(("week_id", "week_friday"))
+    snap, expiry, strike, week = first_columns(df, (SNAPSHOT_DATES, EXPIRY_DATES, STRIKES, WEEKS), with_values=probe)
     if not (snap and expiry and strike):
         raise ValueError("weights need a snapshot date, an expiry date and a strike")
-    ymd = lambda c: F.to_date(F.col(c).try_cast("timestamp"))
+    ymd = lambda c: F.col(c) if df.schema[c].dataType == DateType() else F.to_date(F.col(c).try_cast("timestamp"))
     raw_dow = F.col("snapshot_dow").cast("string") if "snapshot_dow" in df.columns else F.lit(None).cast("string")
     out = df.withColumns(
         {
@@ -86,6 +88,11 @@ def weighting_v3(
     `scope` names columns (a file, a dataset) inside which everything is computed separately.
     """
     keyed, groups = weight_groups(df, mode=mode, alpha_min=alpha_min, alpha_max=alpha_max, beta=beta, focus=focus, strict=strict, probe=probe, scope=scope)
+    return weighted_rows(keyed, groups, scope)
+
+
+def weighted_rows(keyed: DataFrame, groups: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of `weight_groups` with the weights of their groups."""
     return with_cluster_keys(keyed.join(groups, [*scope, "weight_group_key"])).withColumn("weighting_version", F.lit(VERSION))
 
 
@@ -102,35 +109,36 @@ def weight_groups(
     critical = F.col("snapshot_date").isNull() | F.col("expiry_date").isNull() | F.col("snapshot_dow").isNull() | F.col("_k").isNull()
     if strict:
         checked = F.when(critical, F.raise_error(F.lit("weighting keys missing"))).otherwise(F.col("weight_group_key"))
-        keyed = keyed.withColumn("weight_group_key", checked)
+        # Never NULL, which spares the join a filter that would build the key a second time.
+        keyed = keyed.withColumn("weight_group_key", F.coalesce(checked, F.lit("")))
     else:
         keyed = keyed.where(~critical)
     sc = list(scope)
-    # All weights depend on the group only, so they are worked out on the table of groups.
+    # All weights depend on the group only, so they are worked out on the table of groups, and their means on that of the
+    # tickers. Groups are written once: otherwise every mean, each with its own columns, would count all rows anew. Tickers
+    # are written too, so that their size is known and few of them are broadcast to the groups.
     groups = keyed.groupBy(*sc, upper_ticker().alias("_t"), "weight_group_key").agg(F.count("*").cast("double").alias("weight_group_size"))
-    tickers = groups.groupBy(*sc, "_t").agg(F.count("*").cast("double").alias("weight_ticker_group_count"))
+    groups = materialize(groups, "weight-groups")
+    tickers = groups.groupBy(*sc, "_t").agg(
+        F.count("*").cast("double").alias("weight_ticker_group_count"), F.sum("weight_group_size").alias("_rows")
+    )
+    attach = lambda one: tickers.join(F.broadcast(one), sc) if sc else with_scalars(tickers, one)
     if mode == "sqrt_inv":
-        mean = tickers.groupBy(*sc).agg(F.avg("weight_ticker_group_count").alias("_mean"))
-        tickers = tickers.join(F.broadcast(mean), sc) if sc else with_scalars(tickers, mean)
+        tickers = attach(tickers.groupBy(*sc).agg(F.avg("weight_ticker_group_count").alias("_mean")))
         raw = F.sqrt(F.col("_mean") / F.greatest(F.col("weight_ticker_group_count"), F.lit(1.0)))
         tickers = tickers.withColumn("weight_ticker_w_raw", clip(raw, alpha_min, alpha_max)).drop("_mean")
     else:
         tickers = tickers.withColumn("weight_ticker_w_raw", F.lit(1.0))
     chosen = parse_tickers(focus)
-    groups = groups.join(tickers, [*sc, "_t"])
-    groups = groups.withColumns(
-        {
-            "weight_group_w": F.lit(1.0) / F.col("weight_group_size"),
-            "weight_trade_focus_mult": F.when(F.col("_t").isin(chosen), F.lit(float(beta))).otherwise(F.lit(1.0)) if chosen else F.lit(1.0),
-        }
-    )
+    focused = F.when(F.col("_t").isin(chosen), F.lit(float(beta))).otherwise(F.lit(1.0)) if chosen else F.lit(1.0)
+    tickers = tickers.withColumn("weight_trade_focus_mult", focused)
+    total = F.sum(F.col("weight_ticker_group_count") * F.col("weight_ticker_w_raw") * F.col("weight_trade_focus_mult"))
+    tickers = attach(tickers.groupBy(*sc).agg((total / F.sum("_rows")).alias("_m"))).drop("_rows")
+    tickers = materialize(tickers, "weight-tickers")
+    groups = groups.join(tickers, [*sc, "_t"]).withColumn("weight_group_w", F.lit(1.0) / F.col("weight_group_size"))
     groups = groups.withColumn(
         "weight_raw", F.col("weight_group_w") * F.col("weight_ticker_w_raw") * F.col("weight_trade_focus_mult")
     )
-    mean = groups.groupBy(*sc).agg(
-        (F.sum(F.col("weight_ticker_w_raw") * F.col("weight_trade_focus_mult")) / F.sum("weight_group_size")).alias("_m")
-    )
-    groups = groups.join(F.broadcast(mean), sc) if sc else with_scalars(groups, mean)
     groups = groups.withColumn("weight_final", F.col("weight_raw") / F.col("_m")).drop("_m", "_t")
     return keyed, groups
 

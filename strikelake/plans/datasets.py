@@ -25,9 +25,9 @@ def migrate_weights(rows: DataFrame, file: str = "file", **options) -> tuple[Dat
     fitness = keyed.groupBy(file).agg(F.count("*").alias("_rows"), F.max(bad).alias("_unfit"))
     # A row per file is broadcast: a shuffle by file would send a file's rows to one task.
     fit = base.join(F.broadcast(fitness.where(~F.col("_unfit")).select(file)), file, "left_semi")
-    done = weights.weighting_v3(fit, probe=False, scope=(file,), **options)
     # All weights are those of the groups, so the report reads the table of groups, not the rows.
-    _, groups = weights.weight_groups(fit, probe=False, scope=(file,), **options)
+    keyed, groups = weights.weight_groups(fit, probe=False, scope=(file,), **options)
+    done = weights.weighted_rows(keyed, groups, (file,))
     size = F.col("weight_group_size")
     stats = groups.groupBy(file).agg(
         F.count("weight_group_key").alias("weight_groups"), F.min("weight_final").alias("weight_min"),
@@ -91,7 +91,10 @@ def prn_view(rows: DataFrame, method: str, version: str, config_hash: str) -> Da
 
 
 def backfill_dataset(existing: DataFrame, extra: DataFrame, **options) -> DataFrame:
-    """Add the missing rows, keep the stored ones on equal ids, and weight the whole again."""
-    merged = relational.backfill(existing, extra)
+    """Add the missing rows, keep the stored ones on equal ids, and weight the whole again.
+
+    `existing` is read several times: it should be a stored table, not a job.
+    """
+    merged = relational.backfill(existing, extra, write=True)
     merged = merged.drop(*[c for c in WEIGHT_COLUMNS if c in merged.columns])
     return weights.weighting_v3(merged, **options)

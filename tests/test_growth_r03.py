@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strikelake.operators import chain, metrics, ranks
+from strikelake.operators import chain, metrics, ranks, relational
 from test_operators import frame, greedy_error
 
 
@@ -54,3 +54,42 @@ def test_scale_is_chosen_without_a_second_curve(spark):
     best = chain.choose_scale(banded, ["c"])
     assert sorted((r["c"], r["spot_scale"]) for r in best.collect()) == [("a", "split_adj"), ("b", "raw"), ("c", "raw")]
     assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_backfill_reads_stored_rows_and_looks_for_added_ones_once(spark, tmp_path):
+    from strikelake import catalog
+
+    catalog.load_all()
+    days = [dt.date(1996, 3, 4), dt.date(1997, 5, 6), dt.date(1999, 7, 8)]
+    rows = [(i, 1, 30 + i % 9, 1 + i % 7, days[i % 3], 0.04, 0.02, "R", 20.0, 30_000.0 + i) for i in range(60)]
+    rows += rows[:5]  # stored rows and added ones that come twice
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_discount double, l_tax double, l_returnflag string, l_quantity double, l_extendedprice double"
+    frame(spark, rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.QUERIES["backfill_with_weights"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Every total used to work out all rows again, with its own reads of the source and its own anti join.
+    reads = [line for line in plan.splitlines() if "Relation [" in line]
+    assert "LeftAnti" not in plan and len([line for line in reads if "order_id" in line]) == 2 and len(reads) <= 4
+
+    # The weights are those of the whole table weighted at once; an extra row whose id is stored (those of 1997) is dropped.
+    whole = catalog.QUERIES["snapshot_weights"](spark, str(tmp_path)).collect()
+    assert sorted(out.collect()) == sorted(whole) and len(whole) == 65
+
+
+def test_backfill_keeps_stored_rows_on_equal_ids_and_repeats(spark):
+    from strikelake.plans.datasets import backfill_dataset
+
+    day, end = dt.date(2024, 1, 2), dt.date(2024, 1, 5)
+    columns = "row_id string, ticker string, snapshot_date date, expiry_date date, K double, v int, weight_final double"
+    old = frame(spark, [("a", "t", day, end, 1.0, 1, 9.0), ("b", "t", day, end, 2.0, 2, 9.0), ("b", "t", day, end, 2.0, 2, 9.0)], columns)
+    new = frame(spark, [("a", "t", day, end, 1.0, 7, 9.0), ("c", None, day, end, 1.0, 3, 9.0), ("c", None, day, end, 1.0, 3, 9.0), (None, "u", day, end, 1.0, 4, 9.0)], columns)
+    got = backfill_dataset(old, new, mode="sqrt_inv", beta=2.0, focus="u").collect()
+    # Groups t (3 rows), UNKNOWN (2) and u (1): 1 / size, u twice; the mean over the 6 rows is (1 + 1 + 2) / 6.
+    want = [("a", 1, 0.5), ("b", 2, 0.5), ("b", 2, 0.5), ("c", 3, 0.75), ("c", 3, 0.75), (None, 4, 3.0)]
+    assert sorted((r["v"], r["row_id"], round(r["weight_final"], 9)) for r in got) == sorted((v, k, w) for k, v, w in want)
+
+
+def test_candidates_of_all_keys_are_looked_at_in_one_row(spark):
+    df = frame(spark, [(None, 1, "x")], "a string, b int, c string")
+    assert relational.first_columns(df, (("a", "b"), ("no", "c"), ("a",), ()), with_values=True) == ["b", "c", None, None]
+    assert relational.first_columns(df, (("a", "b"), ("no",))) == ["a", None] and relational.first_column(df, ("a", "b"), with_values=True) == "b"
