@@ -150,3 +150,35 @@ def test_logistic_step_from_one_exponential():
     eta = np.array([-1e4, -700.0, -3.0, 0.0, 2.5, 700.0, 1e4])
     prob, softplus = _logistic(eta)
     assert np.allclose(prob, 1 / (1 + np.exp(-np.clip(eta, -700, 700))), atol=1e-15) and np.allclose(softplus, np.logaddexp(0.0, eta), rtol=1e-14)
+
+
+def test_most_fits_start_where_their_design_has_led(spark, data, monkeypatch):
+    """Over all passes a fit is met about twice, not once for each of its Newton steps from zero."""
+    _, df = data
+    trials = S.trial_table(
+        spark, [("a",), ("a", "b")], C=[0.1, 0.15, 0.2, 0.3], trading_universe_upweight=[1.0, 1.1, 1.2], foundation_weight=[1.0, 1.1, 1.2], ticker_intercepts=["off", "on"]
+    )
+    met, keep = [], R._summed
+
+    def counted(*args):
+        out = keep(*args)
+        if "level" in out:
+            met.append(len(out[out["level"] < 0][["part", "fit"] if "part" in out else ["pair"]].drop_duplicates()))
+        return out
+
+    monkeypatch.setattr(R, "_summed", counted)
+    up, fd = F.col("t") == "T1", F.col("t") == "T2"
+    R.search_trials(df, trials, FOLDS, "week", y="y", baseline="base", w="w", universe=up, foundation=fd, level=F.col("t")).count()
+    assert sum(met) <= 3.5 * 2 * trials.count()
+
+
+def test_fits_far_from_the_one_that_leads(spark, data):
+    rows, df = data
+    trials = S.trial_table(spark, [("a", "b")], C=[100.0, 1e-4], trading_universe_upweight=[1.0, 200.0, 0.01], ticker_intercepts=["off", "on"], calibration=["none", "platt"])
+    got = R.search_trials(df, trials, FOLDS, "week", y="y", baseline="base", w="w", universe=F.col("t") == "T1", level=F.col("t")).collect()
+    grid = {t["trial_id"]: t for t in trials.collect()}
+    assert len(got) == 2 * len(grid)
+    for r in got:
+        t = grid[r["trial_id"]]
+        want = brute(rows, FOLDS[r["fold"] - 1], [0, 1], t["C"], t["trading_universe_upweight"], t["ticker_intercepts"] == "on", False, t["calibration"] == "platt")
+        assert r["score"] == pytest.approx(want, abs=1e-7)
